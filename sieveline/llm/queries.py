@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import leakage, packing, proportions, splitting
+from sieveline.llm import leakage, near_duplicates, packing, proportions, splitting
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +22,19 @@ def p1_pieces(spark, sf):
     return splitting.split(_table(spark, sf, "scam_documents"))
 
 
+def _texts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return {name: _table(spark, sf, name) for name in ("scam_documents", "chunks")}
+
+
+def p3_found(spark, sf):
+    pairs = near_duplicates.near_pairs(_texts(spark, sf), words_per_shingle=3, threshold=0.6, measure="plain")
+    return pairs.select("rec_table", "id_a", "id_b")
+
+
+def p3_groups(spark, sf):
+    return near_duplicates.near_groups(_texts(spark, sf))
+
+
 def p4_found(spark, sf):
     _, planned = proportions.sample(_table(spark, sf, "scam_documents"), _table(spark, sf, "sample_targets"))
     return proportions.shortfalls(planned).select("target_set", "scam_type")
