@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import leakage, near_duplicates, packing, proportions, splitting
+from sieveline.llm import leakage, near_duplicates, neighbours, packing, proportions, splitting
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -51,6 +51,16 @@ def p4_report(spark, sf):
     return planned.join(n, ["target_set", "category"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
 
 
+def p5_found(spark, sf):
+    near = neighbours.neighbours(_table(spark, sf, "chunks"), min_cosine=0.9)
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p5_neighbours(spark, sf):
+    """Queries are the ids divisible by 20, against all rows."""
+    return neighbours.neighbours(_table(spark, sf, "chunks"), queries=F.col("id") % 20 == 0, probe_share=1 / 8)
+
+
 def p7_found(spark, sf):
     return packing.pack(_table(spark, sf, "documents")).filter("n_pieces > 1").select("doc_id").distinct()
 
