@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -18,3 +20,14 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
 def signed(h: np.ndarray) -> pa.Array:
     """uint64 hashes as Spark longs."""
     return pa.array(h.view(np.int64))
+
+
+def hashed_sample(df: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df``, those with the least hash of ``by``; all of them if there are no more.
+
+    Chosen by a threshold on the hash, so that no task sends more than its part.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < F.lit(int((1 << 30) * rows / n)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import leakage, near_duplicates, neighbours, packing, proportions, splitting
+from sieveline.llm import boilerplate, leakage, near_duplicates, neighbours, packing, proportions, splitting
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def _texts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {name: _table(spark, sf, name) for name in ("scam_documents", "chunks")}
 
 
+def p2_found(spark, sf):
+    return boilerplate.body_lines(_table(spark, sf, "fetched_docs"), _table(spark, sf, "scam_documents")).select("fetch_id", "line_no")
+
+
+def p2_bodies(spark, sf):
+    return boilerplate.body_lines(_table(spark, sf, "fetched_docs"), _table(spark, sf, "scam_documents"))
+
+
 def p3_found(spark, sf):
     pairs = near_duplicates.near_pairs(_texts(spark, sf), words_per_shingle=3, threshold=0.6, measure="plain")
     return pairs.select("rec_table", "id_a", "id_b")
