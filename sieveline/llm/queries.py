@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import boilerplate, leakage, near_duplicates, neighbours, packing, proportions, splitting
+from sieveline.llm import boilerplate, leakage, near_duplicates, neighbours, packing, proportions, splitting, truncation
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -69,6 +69,14 @@ def p5_neighbours(spark, sf):
     return neighbours.neighbours(_table(spark, sf, "chunks"), queries=F.col("id") % 20 == 0, probe_share=1 / 8)
 
 
+def p6_found(spark, sf):
+    return truncation.cut_values(_table(spark, sf, "scam_documents")).select("id", "field").distinct()
+
+
+def p6_shares(spark, sf):
+    return truncation.cut_shares(_table(spark, sf, "scam_documents"))
+
+
 def p7_found(spark, sf):
     return packing.pack(_table(spark, sf, "documents")).filter("n_pieces > 1").select("doc_id").distinct()
 
