@@ -14,11 +14,11 @@ queries and takes the T least, which gives the heap's cells without a loop per q
 On the cluster: first-half centroids that lie close together form a region. Vectors are
 filed under the region of their cell, queries are sent to the regions of their cells,
 and a region with many vectors or queries is split into a grid of blocks. A task thus
-holds ``block_rows`` vectors and as many queries at most. Equal vectors are one entry
+holds about ``block_rows`` vectors and ``query_rows`` queries. Equal vectors are one entry
 with its least keys, so copies cost nothing in the search.
 
-Fitted on a bounded sample: the codebooks, on ``sample_rows`` vectors with the least
-hash. Everything else covers all rows. Nulls and edge cases: vectors that are null, of
+Fitted on a bounded sample: the codebooks, on about ``sample_rows`` vectors with the
+least hash. Everything else covers all rows. Nulls and edge cases: vectors that are null, of
 another width, all zero, or have a null or non-finite element take no part; equal
 cosines go to the smaller key; a vector with fewer than k others has as many
 neighbours as there are; rows repeated whole count once; empty tables give no rows.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm._batches import pieces
+from sieveline.llm._batches import hashed_sample, pieces
 from sieveline.session import stage
 
 
@@ -102,7 +102,7 @@ def usable(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
 def neighbours(
     df: DataFrame, *, key: str = "id", vector: str = "embedding", width: int = 64, k: int = 5, queries=None, probes: int | None = 32,
     probe_share: float | None = None, min_cosine: float | None = None, cell_rows: int = 64, max_centroids: int = 256,
-    sample_rows: int = 20_000, block_rows: int = 20_000,
+    sample_rows: int = 20_000, block_rows: int = 60_000, query_rows: int = 200_000, min_regions: int = 4,
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): for every query the ``k`` most similar other vectors found.
 
@@ -126,12 +126,12 @@ def neighbours(
     n = vectors.count()
     out_schema = "c long, nc long, cosine float"
     if n:
-        sample = np.stack([np.frombuffer(r["v"], np.float32) for r in vectors.orderBy(F.xxhash64("c"), "c").limit(sample_rows).collect()])
+        sample = np.stack([np.frombuffer(r["v"], np.float32) for r in sorted(hashed_sample(vectors, ["c"], sample_rows).collect())])
         half = width // 2
         kk = int(np.clip(round((n / cell_rows) ** 0.5), 1, max_centroids))
         c1, c2 = kmeans(sample[:, :half], kk), kmeans(sample[:, half:], kk, seed=1)
         t = max(1, round(probe_share * len(c1) * len(c2))) if probe_share else probes
-        groups = kmeans(c1, max(1, min(len(c1), round(n / block_rows))), seed=2)
+        groups = kmeans(c1, min(len(c1), max(min_regions, round(n / block_rows))), seed=2)
         region = _distances(c1, groups).argmin(1).astype(np.int32)  # of each first-half centroid
         index = vectors.sparkSession.sparkContext.broadcast((c1, c2, region, t))
 
@@ -164,10 +164,10 @@ def neighbours(
             asking = vectors.join(classes.select("h1", "h2", "c").join(wanted, ["h1", "h2"], "left_semi").select("c"), "c", "left_semi")
         filed, asked = vectors.mapInArrow(file_, "g int, c long, cell int, v binary"), asking.mapInArrow(ask, "g int, c long, v binary")
 
-        def splits(d: DataFrame) -> dict[int, int]:  # as many rows as regions
-            return {r["g"]: -(-r["count"] // block_rows) for r in d.groupBy("g").count().collect()}
+        def splits(d: DataFrame, most: int) -> dict[int, int]:  # as many rows as regions
+            return {r["g"]: -(-r["count"] // most) for r in d.groupBy("g").count().collect()}
 
-        fi, qi = splits(filed), splits(asked)
+        fi, qi = splits(filed, block_rows), splits(asked, query_rows)
         sizes = F.broadcast(vectors.sparkSession.createDataFrame([(g, fi[g], qi.get(g, 0)) for g in fi], "g int, ni int, nq int"))
 
         def every(n: str):
