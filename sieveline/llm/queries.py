@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import boilerplate, leakage, near_duplicates, neighbours, packing, proportions, splitting, truncation
+from sieveline.llm import boilerplate, leakage, near_duplicates, neighbours, packing, proportions, splitting, text_statistics, truncation
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -94,6 +94,14 @@ def p8_report(spark, sf):
     return leakage.leak_report(leakage.leaks(_table(spark, sf, "documents"), cases), cases)
 
 
+def p9_found(spark, sf):
+    return text_statistics.forms(_table(spark, sf, "documents")).filter("form <> 'prose'").select("doc_id", "form")
+
+
+def p9_statistics(spark, sf):
+    return text_statistics.text_statistics(_table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
