@@ -1,5 +1,145 @@
 """SQL by query name that gives the same rows in another engine."""
 
+from __future__ import annotations
+
+from sieveline.functions.text import ACCENTED, LABEL_KEYWORDS, MARKS, PLAIN
+from sieveline.plans.registry import AUDIT_LEAST, BUDGET, LISTED
+
+_TYPES = "'ecommerce_scam','fake_job','impersonation_authority','impersonation_service','investment_fraud','loan_scam','other','package_delivery','prize_gift','recovery_scam','romance_scam','tech_fraud','vacation_contract'"
+
+
+def _folded(c: str) -> str:
+    return f"regexp_replace(translate(lower({c}), '{ACCENTED}', '{PLAIN}'), '[{MARKS}]', '', 'g')"
+
+
+def _tokens(c: str) -> str:
+    return rf"list_filter(regexp_split_to_array({_folded(c)}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+_LABEL = "replace(replace(lower(trim(scam_type)), ' ', '_'), '-', '_')"
+_BASE = f"""
+    d AS (SELECT DISTINCT id, url, title, content, prevention, source, CASE WHEN {_LABEL} IN ({_TYPES}) THEN {_LABEL} END AS scam_type FROM scam_documents),
+    c AS (SELECT DISTINCT id, document_id, kind, content, embedding FROM chunks),
+    r AS (SELECT DISTINCT * FROM analyze_requests)"""
+_USABLE = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_ARMS = f"""{_BASE},
+    q AS (
+      SELECT case_id AS query_id, {_tokens("item_text")}[1:3] AS words, embedding::DOUBLE[] AS qe, n.scam_type, is_scam
+      FROM (SELECT *, row_number() OVER (ORDER BY case_id) - 1 AS vec_id FROM benchmark_cases) n JOIN embeddings USING (vec_id)),
+    u AS (SELECT id, document_id, embedding::DOUBLE[] AS e FROM c WHERE {_USABLE}),
+    va AS (
+      SELECT query_id, id AS chunk_id, document_id, round(1 - list_cosine_similarity(qe, e), 6) + 0.0 AS distance,
+        row_number() OVER (PARTITION BY query_id ORDER BY round(1 - list_cosine_similarity(qe, e), 6) + 0.0, id) AS rank
+      FROM q, u QUALIFY rank <= 80),
+    qw AS (SELECT query_id, unnest(list_distinct(words)) AS word FROM q),
+    cw AS (SELECT id, document_id, word, count(*) AS tf FROM (SELECT id, document_id, unnest({_tokens("content")}) AS word FROM c) GROUP BY ALL),
+    ka AS (
+      SELECT query_id, id AS chunk_id, document_id, sum(tf)::BIGINT AS hits, row_number() OVER (PARTITION BY query_id ORDER BY sum(tf) DESC, id) AS rank
+      FROM qw JOIN cw USING (word) GROUP BY query_id, id, document_id
+      HAVING count(*) = (SELECT count(*) FROM qw x WHERE x.query_id = qw.query_id) QUALIFY rank <= 80),
+    vd AS (
+      SELECT query_id, chunk_id, document_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
+      FROM (SELECT * FROM va QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) = 1)),
+    kd AS (
+      SELECT query_id, chunk_id, document_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
+      FROM (SELECT * FROM ka QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) = 1)),
+    f AS (
+      SELECT query_id, document_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score,
+        row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, document_id) AS rank
+      FROM (SELECT query_id, document_id, rank FROM vd UNION ALL SELECT query_id, document_id, rank FROM kd) GROUP BY query_id, document_id)"""
+_CASES = f"""{_BASE},
+    j AS (
+      SELECT request_id, d.scam_type, coalesce(d.scam_type <> 'other', false) AS is_scam,
+        CASE WHEN coalesce(d.scam_type <> 'other', false) THEN 'red' ELSE 'green' END AS expected, risk_level AS got, latency_ms
+      FROM r JOIN d ON d.id = r.top_document_id WHERE status = 200 AND risk_level IS NOT NULL)"""
+_HOST = r"regexp_replace(lower(nullif(regexp_extract(url, '^https?://([^/?#:]+)', 1), '')), '^www\.', '')"
+_AUDIT = f"""{_BASE},
+    x AS (SELECT c.id, c.document_id, c.kind, left(c.content, 80) AS preview, c.embedding::DOUBLE[] AS e, d.url, d.scam_type FROM c JOIN d ON d.id = c.document_id
+          WHERE d.scam_type IS NOT NULL AND kind IS NOT NULL AND {_USABLE.replace("embedding", "c.embedding")}),
+    p AS (
+      SELECT a.scam_type, a.kind, round(list_cosine_similarity(a.e, b.e), 6) AS similarity, a.id AS a_id, a.document_id AS a_doc, a.url AS a_url, a.preview AS a_preview,
+        b.id AS b_id, b.document_id AS b_doc, b.url AS b_url, b.preview AS b_preview
+      FROM x a JOIN x b ON a.kind = b.kind AND a.scam_type = b.scam_type AND a.id < b.id AND a.document_id <> b.document_id
+      WHERE round(list_cosine_similarity(a.e, b.e), 6) >= {AUDIT_LEAST})"""
+_LABELS = "CASE " + " ".join(f"WHEN regexp_matches(t, '{'|'.join(w)}') THEN '{n}'" for n, w in LABEL_KEYWORDS) + " ELSE 'other' END"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f\x0b]+'), lambda w: w <> '')"
+_SIMPLE = "regexp_replace(regexp_replace(regexp_replace(lower({}), '[^a-z0-9-]+', '-', 'g'), '-{{2,}}', '-', 'g'), '^-|-$', '', 'g')"
+_STEM = r"regexp_replace(regexp_extract(regexp_replace(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/+$', ''), '([^/]*)$', 1), '(.)\.[^.]*$', '\1')"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "list_chunks": f"WITH {_BASE} SELECT c.id, document_id, kind, c.content, title, scam_type, url FROM c JOIN d ON d.id = document_id ORDER BY c.id LIMIT {LISTED}",
+        "url_exists": "SELECT DISTINCT url FROM fetched_docs WHERE url IN (SELECT url FROM scam_documents)",
+        "url_missing": "SELECT DISTINCT url FROM fetched_docs f WHERE url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM scam_documents s WHERE s.url = f.url)",
+        "host_allowed": f"""SELECT host, count(*) AS n_pages FROM (SELECT DISTINCT fetch_id, {_HOST} AS host FROM fetched_docs)
+            WHERE host IN (SELECT {_HOST} FROM scam_documents) GROUP BY host""",
+        "vector_topk": f"WITH {_ARMS} SELECT query_id, chunk_id, document_id, distance, rank, round(greatest(0.0, least(1.0, 1 - distance)), 6) + 0.0 AS score FROM va",
+        "vector_docs": f"WITH {_ARMS} SELECT * FROM vd",
+        "keyword_topk": f"WITH {_ARMS} SELECT * FROM ka",
+        "keyword_docs": f"WITH {_ARMS} SELECT * FROM kd",
+        "hybrid_rrf": f"WITH {_ARMS} SELECT * FROM f",
+        "hybrid_batch": f"WITH {_ARMS} SELECT query_id, rank, document_id, score, d.title, d.scam_type, d.url FROM f JOIN d ON d.id = f.document_id WHERE rank <= 5",
+        "rerank_by_length": f"""WITH {_ARMS} SELECT query_id, document_id, coalesce(length(content), 0)::DOUBLE AS score,
+            row_number() OVER (PARTITION BY query_id ORDER BY coalesce(length(content), 0) DESC, rank) AS rank
+            FROM f JOIN d ON d.id = f.document_id WHERE f.rank <= 20
+            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce(length(content), 0) DESC, f.rank) <= 5""",
+        "dup_audit": f"WITH {_AUDIT} SELECT * FROM p",
+        "dup_summary": f"""WITH {_AUDIT} SELECT scam_type, count(DISTINCT (a_id, b_id)) AS n_pairs, count(DISTINCT i) AS n_chunks
+            FROM (SELECT *, unnest([a_id, b_id]) AS i FROM p) GROUP BY scam_type""",
+        "prune_report": f"""WITH {_BASE},
+            ids AS (SELECT id FROM c WHERE kind = 'content' AND document_id IN (SELECT top_document_id FROM r WHERE risk_level = 'red') UNION SELECT -id FROM d),
+            s AS (SELECT d.id, d.url, count(k.id) AS remaining, count(k.id) FILTER (WHERE k.kind = 'content') AS contents
+              FROM d LEFT JOIN (SELECT * FROM c WHERE id NOT IN (SELECT id FROM ids)) k ON k.document_id = d.id
+              WHERE d.id IN (SELECT document_id FROM c WHERE id IN (SELECT id FROM ids)) GROUP BY d.id, d.url)
+            SELECT 'deleted' AS what, id, NULL::VARCHAR AS url, NULL::BIGINT AS remaining FROM c WHERE id IN (SELECT id FROM ids)
+            UNION ALL SELECT 'missing', id, NULL, NULL FROM ids WHERE id NOT IN (SELECT id FROM c)
+            UNION ALL SELECT CASE WHEN remaining = 0 THEN 'emptied' ELSE 'contentless' END, id, url, remaining FROM s WHERE contents = 0""",
+        "doc_remainder": f"""WITH {_BASE} SELECT d.id AS document_id, d.url, count(c.id) AS remaining, count(c.id) FILTER (WHERE c.kind = 'content') AS content_remaining
+            FROM d LEFT JOIN c ON c.document_id = d.id GROUP BY d.id, d.url""",
+        "score_clamp": f"""WITH {_BASE}, k AS (SELECT * FROM c WHERE {_USABLE})
+            SELECT a.document_id, a.id AS content_id, b.id AS query_chunk_id,
+              round(greatest(0.0, least(1.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) + 0.0 AS score
+            FROM k a JOIN k b USING (document_id) WHERE a.kind = 'content' AND b.kind = 'query'""",
+        "eval_recall_mrr": f"""WITH {_ARMS},
+            h AS (SELECT q.query_id, min(f.rank) FILTER (WHERE d.scam_type = q.scam_type) AS first FROM q LEFT JOIN f ON f.query_id = q.query_id AND f.rank <= 5
+              LEFT JOIN d ON d.id = f.document_id WHERE is_scam GROUP BY q.query_id)
+            SELECT count(*) AS n, round(coalesce(avg((first IS NOT NULL)::INT), 0), 6) AS recall, round(coalesce(avg(coalesce(1.0::DOUBLE / first, 0)), 0), 6) AS mrr FROM h""",
+        "eval_confusion": f"WITH {_CASES} SELECT expected, got, count(*) AS n FROM j GROUP BY ALL",
+        "eval_rates": f"""WITH {_CASES} SELECT count(*) AS n, round(coalesce(avg((expected = got)::INT), 0), 6) AS accuracy,
+            round(coalesce(avg((got = 'red')::INT) FILTER (WHERE NOT is_scam), 0), 6) AS fpr, round(coalesce(avg((got = 'green')::INT) FILTER (WHERE is_scam), 0), 6) AS fnr FROM j""",
+        "eval_by_type": f"WITH {_CASES} SELECT scam_type, count(*) AS n, round(avg((expected = got)::INT), 6) AS accuracy FROM j WHERE is_scam GROUP BY scam_type",
+        "eval_examples": f"""WITH {_CASES},
+            t AS (SELECT request_id, latency_ms FROM j WHERE latency_ms IS NOT NULL ORDER BY latency_ms DESC, request_id LIMIT 3)
+            SELECT *, 'best' AS "end" FROM t UNION ALL
+            (SELECT request_id, latency_ms, 'worst' FROM j WHERE latency_ms IS NOT NULL AND request_id NOT IN (SELECT request_id FROM t) ORDER BY latency_ms, request_id LIMIT 3)""",
+        "vote_resolution": f"WITH {_CASES} SELECT CASE WHEN got = expected THEN got ELSE 'tie' END AS winner, got = expected AS consistent, count(*) AS n FROM j GROUP BY ALL",
+        "report_assembly": f"""WITH {_ARMS} SELECT q.query_id AS case_id, is_scam, a.document_id AS got_vector, b.document_id AS got_keyword FROM q
+            LEFT JOIN (SELECT * FROM va WHERE rank = 1) a USING (query_id) LEFT JOIN (SELECT * FROM ka WHERE rank = 1) b USING (query_id)""",
+        "status_tally": f"WITH {_BASE} SELECT status, count(*) AS n FROM r GROUP BY status",
+        "infer_label": f"WITH {_BASE}, l AS (SELECT id, lower(coalesce(title, '') || ' ' || coalesce(content, '')) AS t FROM d) SELECT id, {_LABELS} AS inferred FROM l",
+        "label_agreement": f"""WITH {_BASE}, l AS (SELECT scam_type, lower(coalesce(title, '') || ' ' || coalesce(content, '')) AS t FROM d)
+            SELECT scam_type, count(*) AS n, count(*) FILTER (WHERE {_LABELS} = scam_type) AS n_same FROM l GROUP BY scam_type""",
+        "validate_content": rf"""SELECT doc_id, CASE WHEN octet_length(encode(coalesce(text, ''))) > 10485760 THEN 'too large' WHEN n = 0 THEN 'empty' WHEN n < 20 THEN 'too short'
+            WHEN n > 500000 THEN 'too long' WHEN 2 * odd > length(text) THEN 'unreadable' END AS problem
+            FROM (SELECT doc_id, text, len({_WORDS}) AS n,
+              length(coalesce(text, '')) - length(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0b]', 'x', 'g'), '[\p{{Cc}}\p{{Cf}}\p{{Co}}\p{{Cs}}]', '', 'g')) AS odd FROM documents)""",
+        "slugify": f"""SELECT DISTINCT fetch_id, coalesce(nullif({_SIMPLE.format(_STEM)}, ''), nullif({_SIMPLE.format("coalesce(title, '')")}, ''), 'document') || '-' ||
+            left(sha1(coalesce(url, '')), 8) AS slug FROM fetched_docs""",
+        "fold_tokens": f"""SELECT word, count(DISTINCT doc_id) AS n_texts, count(*) AS n FROM (SELECT doc_id, unnest({_tokens("text")}) AS word FROM documents)
+            GROUP BY word HAVING count(DISTINCT doc_id) >= 100""",
+        "previews": f"WITH {_BASE} SELECT id, left(content, 80) AS preview FROM c",
+        "prompt_excerpt": r"""SELECT doc_id, left(sha256(CASE WHEN octet_length(encode(s)) <= 500 THEN s ELSE
+              left(s, list_max(list_filter(range(100, 501), lambda k: octet_length(encode(left(s, k))) <= 500))) || '...' END), 12) AS digest FROM (
+            SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(text, '[\x00-\x08\x0b-\x1f]', '', 'g'),
+              '<suspicious_message>', ''), '</suspicious_message>', ''), '<reference_data>', ''), '</reference_data>', ''), '<|im_start|>', ''), '<|im_end|>', ''), '[INST]', ''), '[/INST]', '') AS s
+            FROM documents WHERE text IS NOT NULL)""",
+        "citations": f"""WITH {_BASE}, l AS (SELECT source, list_sort(list(id))[1:5] AS items FROM d WHERE source IS NOT NULL GROUP BY source)
+            SELECT source, CASE WHEN len(items) >= 3 THEN concat_ws(',', items[3], items[1], CASE WHEN len(items) > 3 THEN items[len(items)] END)
+              WHEN len(items) = 2 THEN concat_ws(',', items[1], items[2]) ELSE items[1]::VARCHAR END AS cited FROM l""",
+        "budget_daily": f"""WITH {_BASE} SELECT (received_at AT TIME ZONE 'UTC' + INTERVAL 7 HOUR)::DATE AS day, count(*) AS n_requests, least(count(*), {BUDGET}) AS n_admitted
+            FROM r WHERE received_at IS NOT NULL GROUP BY day""",
+        "budget_window": f"""WITH {_BASE} SELECT date_trunc('day', received_at AT TIME ZONE 'UTC' + INTERVAL 7 HOUR) - INTERVAL 7 HOUR AS day_start, count(*) AS n
+            FROM r WHERE received_at IS NOT NULL GROUP BY day_start""",
+        "dataset_hash": f"WITH {_BASE} SELECT id, left(sha256(coalesce(content, '')), 12) AS hash FROM d",
+    }

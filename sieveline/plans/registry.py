@@ -1,11 +1,265 @@
-"""Registered queries by name."""
+"""Registered queries by name; each reads whole tables of one folder."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sieveline.functions import text as T
+from sieveline.functions import vector as V
+from sieveline.operators import admission, chunking, corpus, evaluation, retrieval, similarity
+
+AUDIT_LEAST, BUDGET, PER_MINUTE, BURST, LISTED = 0.9, 40, 6, 10, 100
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _documents(spark, sf) -> DataFrame:
+    """Documents, each once, with the type in its canonical spelling."""
+    return _table(spark, sf, "scam_documents").dropDuplicates(["id"]).withColumn("scam_type", T.label("scam_type"))
+
+
+def _chunks(spark, sf) -> DataFrame:
+    return _table(spark, sf, "chunks").dropDuplicates(["id"])
+
+
+def _requests(spark, sf) -> DataFrame:
+    return _table(spark, sf, "analyze_requests").dropDuplicates(["request_id"])
+
+
+def _query_batch(spark, sf) -> DataFrame:
+    """The evaluation messages as a query batch: the first three words as keywords, and a vector for each from ``embeddings``."""
+    cases = _table(spark, sf, "benchmark_cases")
+    n = cases.withColumn("vec_id", F.row_number().over(Window.orderBy("case_id")) - 1)  # a fixed set of some hundred cases
+    words = F.array_join(F.slice(T.tokens("item_text"), 1, 3), " ")
+    return n.join(_table(spark, sf, "embeddings"), "vec_id").select(F.col("case_id").alias("query_id"), words.alias("text"), "embedding", "scam_type", "is_scam")
+
+
+def list_chunks(spark, sf):
+    return corpus.listed_chunks(_chunks(spark, sf), _documents(spark, sf), LISTED)
+
+
+def url_exists(spark, sf):
+    return corpus.known_urls(_table(spark, sf, "fetched_docs"), _table(spark, sf, "scam_documents"))
+
+
+def url_missing(spark, sf):
+    return corpus.new_urls(_table(spark, sf, "fetched_docs"), _table(spark, sf, "scam_documents"))
+
+
+def host_allowed(spark, sf):
+    """Fetched pages per host among the hosts that have a document."""
+    hosts = _table(spark, sf, "scam_documents").select(T.host("url").alias("host")).distinct()
+    pages = _table(spark, sf, "fetched_docs").dropDuplicates(["fetch_id"]).select(T.host("url").alias("host"))
+    return pages.join(hosts, "host", "left_semi").groupBy("host").agg(F.count("*").alias("n_pages"))
+
+
+def vector_topk(spark, sf):
+    return retrieval.distance_score(retrieval.vector_arm(_query_batch(spark, sf), _chunks(spark, sf)))
+
+
+def vector_docs(spark, sf):
+    return retrieval.collapse(retrieval.vector_arm(_query_batch(spark, sf), _chunks(spark, sf)))
+
+
+def keyword_topk(spark, sf):
+    return retrieval.keyword_arm(_query_batch(spark, sf), _chunks(spark, sf))
+
+
+def keyword_docs(spark, sf):
+    return retrieval.collapse(retrieval.keyword_arm(_query_batch(spark, sf), _chunks(spark, sf)))
+
+
+def hybrid_rrf(spark, sf):
+    return retrieval.hybrid(_query_batch(spark, sf), _chunks(spark, sf), top_k=None).withColumn("score", F.round("score", 9))
+
+
+def hybrid_batch(spark, sf):
+    top = retrieval.hybrid(_query_batch(spark, sf), _chunks(spark, sf)).withColumn("score", F.round("score", 9))
+    return retrieval.with_documents(top, _documents(spark, sf)).select("query_id", "rank", "document_id", "score", "title", "scam_type", "url")
+
+
+def rerank_by_length(spark, sf):
+    """The fused ranking reordered by a deterministic scorer, the length of the document's body."""
+    ranked = retrieval.with_documents(retrieval.hybrid(_query_batch(spark, sf), _chunks(spark, sf), top_k=retrieval.RERANK_POOL), _documents(spark, sf))
+    out = retrieval.rerank(ranked, F.coalesce(F.length("content"), F.lit(0)))
+    return out.select("query_id", "rank", "document_id", "score")
+
+
+def dup_audit(spark, sf):
+    return similarity.duplicate_audit(_chunks(spark, sf), _documents(spark, sf), least=AUDIT_LEAST)
+
+
+def dup_summary(spark, sf):
+    return similarity.audit_summary(similarity.duplicate_audit(_chunks(spark, sf), _documents(spark, sf), least=AUDIT_LEAST))
+
+
+def near_dup_fold(spark, sf):
+    return similarity.greedy_kept(_chunks(spark, sf)).filter("NOT kept").select("id", "document_id")
+
+
+def prune_report(spark, sf):
+    """Deleting every content chunk whose document was answered with most, and ids that are not there."""
+    c = _chunks(spark, sf)
+    asked = _requests(spark, sf).filter("risk_level = 'red'").select(F.col("top_document_id").alias("document_id")).distinct()
+    ids = c.filter("kind = 'content'").join(asked, "document_id", "left_semi").select("id")
+    ids = ids.unionByName(_documents(spark, sf).select((-F.col("id")).alias("id")))
+    return corpus.prune_report(_documents(spark, sf), c, ids)
+
+
+def doc_remainder(spark, sf):
+    return corpus.remainder(_documents(spark, sf), _chunks(spark, sf))
+
+
+def score_clamp(spark, sf):
+    """How alike a document's content chunk and its queries are, as a score."""
+    c = _chunks(spark, sf).filter(V.usable("embedding"))
+    a = c.filter("kind = 'content'").select("document_id", F.col("id").alias("content_id"), F.col("embedding").alias("ea"))
+    b = c.filter("kind = 'query'").select("document_id", F.col("id").alias("query_chunk_id"), F.col("embedding").alias("eb"))
+    d = 1 - V.cosine("ea", "eb")
+    return a.join(b, "document_id").select("document_id", "content_id", "query_chunk_id", F.round(V.score(d), 6).alias("score"))
+
+
+def _judged_cases(spark, sf) -> DataFrame:
+    """Answered requests with the verdict that their document's type calls for."""
+    d = _documents(spark, sf).select(F.col("id").alias("top_document_id"), "scam_type")
+    r = _requests(spark, sf).filter("status = 200 AND risk_level IS NOT NULL").join(d, "top_document_id")
+    scam = F.coalesce(F.col("scam_type") != "other", F.lit(False))
+    return r.select("request_id", "scam_type", scam.alias("is_scam"), F.when(scam, "red").otherwise("green").alias("expected"), F.col("risk_level").alias("got"), "latency_ms", "message_chars")
+
+
+def eval_recall_mrr(spark, sf):
+    """Whether the fused ranking finds a document of the case's type within five."""
+    q = _query_batch(spark, sf)
+    ranked = retrieval.with_documents(retrieval.hybrid(q, _chunks(spark, sf)), _documents(spark, sf)).select("query_id", "scam_type", "rank")
+    expected = q.filter("is_scam").select("query_id", F.col("scam_type").alias("expected"))
+    s = evaluation.summary(evaluation.judged(ranked, expected, item="scam_type", k=5))
+    return s.select("n", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
+def eval_confusion(spark, sf):
+    return evaluation.confusion(_judged_cases(spark, sf))
+
+
+def eval_rates(spark, sf):
+    r = evaluation.rates(_judged_cases(spark, sf))
+    return r.select("n", *[F.round(c, 6).alias(c) for c in ("accuracy", "fpr", "fnr")])
+
+
+def eval_by_type(spark, sf):
+    r = evaluation.rates(_judged_cases(spark, sf).filter("is_scam"), ["scam_type"])
+    return r.select("scam_type", "n", F.round("accuracy", 6).alias("accuracy"))
+
+
+def eval_examples(spark, sf):
+    return evaluation.extremes(_judged_cases(spark, sf).select("request_id", "latency_ms"), "latency_ms", "request_id")
+
+
+def vote_resolution(spark, sf):
+    """Two votes per answered request, by its risk and by the verdict its document calls for."""
+    v = evaluation.votes(_judged_cases(spark, sf).withColumnsRenamed({"got": "first", "expected": "second"}))
+    return v.groupBy("winner", "consistent").agg(F.count("*").alias("n"))
+
+
+def report_assembly(spark, sf):
+    """The evaluation cases with the first arm's and the second arm's best document each."""
+    q, c = _query_batch(spark, sf), _chunks(spark, sf)
+    cases = q.select(F.col("query_id").alias("case_id"), "is_scam")
+    arms = [
+        (name, arm.filter("rank = 1").select(F.col("query_id").alias("case_id"), F.col("document_id").alias("got")))
+        for name, arm in (("vector", retrieval.vector_arm(q, c)), ("keyword", retrieval.keyword_arm(q, c)))
+    ]
+    return evaluation.assembled(cases, *arms)
+
+
+def status_tally(spark, sf):
+    return evaluation.tally(_requests(spark, sf))
+
+
+def infer_label(spark, sf):
+    d = _documents(spark, sf)
+    return d.select("id", T.infer_label("title", "content").alias("inferred"))
+
+
+def label_agreement(spark, sf):
+    d = _documents(spark, sf).withColumn("inferred", T.infer_label("title", "content"))
+    return d.groupBy("scam_type").agg(F.count("*").alias("n"), F.count_if(F.col("inferred") == F.col("scam_type")).alias("n_same"))
+
+
+def validate_content(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", T.content_problem("text").alias("problem"))
+
+
+def slugify(spark, sf):
+    return _table(spark, sf, "fetched_docs").dropDuplicates(["fetch_id"]).select("fetch_id", T.slug("url", "title").alias("slug"))
+
+
+def fold_tokens(spark, sf):
+    """The folded words of all corpus texts with the number of texts and of occurrences of each, words of at least a hundred texts."""
+    w = _table(spark, sf, "documents").select("doc_id", F.explode(T.tokens("text")).alias("word"))
+    return w.groupBy("doc_id", "word").agg(F.count("*").alias("tf")).groupBy("word").agg(F.count("*").alias("n_texts"), F.sum("tf").alias("n")).filter("n_texts >= 100")
+
+
+def previews(spark, sf):
+    return _chunks(spark, sf).select("id", T.preview("content", 80).alias("preview"))
+
+
+def prompt_excerpt(spark, sf):
+    """A digest of each corpus text as it goes into a prompt: sanitised and at most 500 bytes."""
+    d = _table(spark, sf, "documents").filter("text IS NOT NULL")
+    return d.select("doc_id", F.substring(F.sha2(T.truncated_bytes(T.sanitised("text"), 500), 256), 1, 12).alias("digest"))
+
+
+def citations(spark, sf):
+    """For each source its five smallest document ids and those that the list of places 3, 1, 3, 7 and the number of documents cites."""
+    d = _documents(spark, sf).filter("source IS NOT NULL").select("source", "id")
+    five = evaluation.top_within(d, "source", ["id"], 5)
+    lists = five.groupBy("source").agg(F.array_sort(F.collect_list("id")).alias("items"))
+    places = F.array(F.lit(3), F.lit(1), F.lit(3), F.lit(7), F.size("items"))
+    return evaluation.cited(lists.withColumn("indices", places)).select("source", F.transform("sources", lambda x: x.cast("string")).alias("s")).select("source", F.array_join("s", ",").alias("cited"))
+
+
+def budget_daily(spark, sf):
+    return admission.budget_by_day(_requests(spark, sf), BUDGET)
+
+
+def budget_window(spark, sf):
+    """Requests per local day as a tumbling window in UTC."""
+    r = _requests(spark, sf).filter("received_at IS NOT NULL")
+    return r.groupBy(F.window("received_at", "1 day", startTime="17 hours").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("day_start"), "n")
+
+
+def token_bucket(spark, sf):
+    """Refused requests per rate key."""
+    b = admission.with_bucket(_requests(spark, sf), PER_MINUTE, BURST)
+    return b.groupBy("rate_key").agg(F.count("*").alias("n"), F.count_if(~F.col("admitted")).alias("n_refused"))
+
+
+def dataset_hash(spark, sf):
+    return _documents(spark, sf).select("id", F.substring(F.sha2(F.coalesce("content", F.lit("")), 256), 1, 12).alias("hash"))
+
+
+def chunk_text(spark, sf):
+    return chunking.chunked(_documents(spark, sf)).select("id", "pos", "start", F.length("content").alias("n_chars"))
+
+
+def corpus_parse(spark, sf):
+    """Every document written in the four-section format with its query chunks and read back."""
+    q = _chunks(spark, sf).filter("kind = 'query'").groupBy(F.col("document_id").alias("id")).agg(F.slice(F.sort_array(F.collect_list(F.struct("id", "content"))), 1, 6).alias("q"))
+    d = _documents(spark, sf).join(q.select("id", F.transform("q", lambda x: F.regexp_replace(x.content, r"\s+", " ")).alias("user_queries")), "id", "left")
+    back = corpus.parsed(corpus.serialised(d, reviewed=True))
+    return back.select("id", "reviewed", "error", F.size("document.user_queries").alias("n_queries"), F.length("document.content").alias("n_chars"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    own = [
+        list_chunks, url_exists, url_missing, host_allowed, vector_topk, vector_docs, keyword_topk, keyword_docs, hybrid_rrf, hybrid_batch,
+        rerank_by_length, dup_audit, dup_summary, near_dup_fold, prune_report, doc_remainder, score_clamp, eval_recall_mrr, eval_confusion,
+        eval_rates, eval_by_type, eval_examples, vote_resolution, report_assembly, status_tally, infer_label, label_agreement, validate_content,
+        slugify, fold_tokens, previews, prompt_excerpt, citations, budget_daily, budget_window, token_bucket, dataset_hash, chunk_text, corpus_parse,
+    ]
+    return {f.__name__: f for f in own}

@@ -1 +1,48 @@
+"""Structured Streaming variants of the admission operators."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from sieveline.operators.admission import take
+
+
+def daily_counts(requests: DataFrame, *, ts: str = "received_at", late: str = "2 days") -> DataFrame:
+    """(day_start, n): requests of each local day (UTC+7) as tumbling windows; ``late`` is how late a request may come."""
+    w = F.window(ts, "1 day", startTime="17 hours")
+    return requests.withWatermark(ts, late).groupBy(w).agg(F.count("*").alias("n")).select(F.col("window.start").alias("day_start"), "n")
+
+
+def token_buckets(requests: DataFrame, per_minute: int, burst: int, *, by: str = "rate_key", ts: str = "received_at", key: str = "request_id", ttl: str = "10 minutes") -> DataFrame:
+    """(key, admitted): a token bucket per rate key whose state is dropped ``ttl`` after the watermark passed its last request.
+
+    Requests of one micro-batch are taken in order of time and key.
+    """
+    kinds = dict(requests.dtypes)
+    rate = per_minute / 60.0
+
+    def work(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tokens, last = state.get if state.exists else (float(burst), None)
+        rows = pd.concat(list(parts)).sort_values([ts, key])
+        ok = []
+        for us in rows["us"].tolist():
+            tokens, last, admitted = take(tokens, last, us, rate, burst)
+            ok.append(admitted)
+        state.update((tokens, last))
+        state.setTimeoutTimestamp(max(int(last / 1000), state.getCurrentWatermarkMs() + 1) + ttl_ms)
+        yield pd.DataFrame({key: rows[key].to_numpy(), "admitted": ok})
+
+    n, unit = ttl.split()
+    ttl_ms = int(n) * {"second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")]
+    stream = requests.filter(F.col(by).isNotNull()).withColumn("us", F.unix_micros(ts)).withWatermark(ts, "1 hour")
+    return stream.select(by, ts, key, "us").groupBy(by).applyInPandasWithState(
+        work, f"{key} {kinds[key]}, admitted boolean", "tokens double, last long", "append", GroupStateTimeout.EventTimeTimeout
+    )
