@@ -69,7 +69,8 @@ class EchoGenerator:
 
 def embedded(df: DataFrame, text: str, embedder: Embedder, *, intent: str = "document", batch: int = 128) -> DataFrame:
     """Adds ``embedding``; the embedder is called with ``batch`` texts at most, nulls count as empty. An answer of the wrong shape is an error."""
-    at = df.columns.index(text)
+    names = [*df.columns, "embedding"]
+    at = names.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,14 +79,15 @@ def embedded(df: DataFrame, text: str, embedder: Embedder, *, intent: str = "doc
                 v = np.asarray(embedder.embed([t or "" for t in p.column(at).to_pylist()], intent), np.float32)
                 if v.shape != (p.num_rows, embedder.width):
                     raise ValueError(f"embedder gave {v.shape} for {p.num_rows} texts")
-                yield pa.RecordBatch.from_arrays([*p.columns, pa.array(list(v), pa.list_(pa.float32()))], names=[*df.columns, "embedding"])
+                yield pa.RecordBatch.from_arrays([*p.columns, pa.array(list(v), pa.list_(pa.float32()))], names=names)
 
     return df.mapInArrow(work, StructType([*df.schema.fields]).add("embedding", ArrayType(FloatType())))
 
 
 def generated(df: DataFrame, prompt: str, generator: Generator, *, system: str = "") -> DataFrame:
     """Adds ``answer``, the generator's JSON text, or null where it fails."""
-    at = df.columns.index(prompt)
+    names = [*df.columns, "answer"]
+    at = names.index(prompt)
 
     def one(p: str | None) -> str | None:
         try:
@@ -95,6 +97,6 @@ def generated(df: DataFrame, prompt: str, generator: Generator, *, system: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([one(p) for p in b.column(at).to_pylist()], pa.string())], names=[*df.columns, "answer"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([one(p) for p in b.column(at).to_pylist()], pa.string())], names=names)
 
     return df.mapInArrow(work, StructType([*df.schema.fields]).add("answer", StringType()))
