@@ -307,10 +307,10 @@ def inspect_labels(b: Blocks, articles: list[str | None], titles: list[str | Non
 
     body = share(articles, 2)
     head = share(titles, 2)
-    ended = np.array([bool(_ENDED.search(t)) for t in b.text])
-    rest = np.array([t.lower().startswith(REST_STARTS) for t in b.text])
-    listed = np.array([t.lower() in BODY_LINES for t in b.text])
-    quoted = np.array([t[0] in "“\"«" and t[-1] in "”\"»" for t in b.text])
+    ended = np.array([bool(_ENDED.search(t)) for t in b.text], bool)
+    rest = np.array([t.lower().startswith(REST_STARTS) for t in b.text], bool)
+    listed = np.array([t.lower() in BODY_LINES for t in b.text], bool)
+    quoted = np.array([t[0] in "“\"«" and t[-1] in "”\"»" for t in b.text], bool)
     bar = b.shape[:, 13] * 6 >= 2
     return ((((body >= 0.35) & (body > head) | quoted) & ended & ~rest & ~bar) | listed).astype(np.int64)
 

@@ -2,10 +2,10 @@
 
 1. Exact copies become one class each; a class is represented by its least key.
 2. Document frequencies of all shingles are counted over all texts. Inverse document
-   frequencies are clipped at ``rare``: shingles in fewer than that share of the texts
+   frequencies are clipped at both ends: shingles in fewer texts than the share ``rare``
    weigh alike, so only the others need be known to the workers. A text has S shingles
    on average, thus at most S / ``rare`` shingles are that frequent, and that bounds
-   what is broadcast.
+   what is broadcast. The commonest weigh LEAST_WEIGHT of a rare one.
 3. Every class gets ``bands * rows`` consistent weighted samples of its shingles, weight
    term frequency times inverse document frequency; two texts agree in a sample with a
    chance equal to their weighted Jaccard similarity.
@@ -36,6 +36,9 @@ from sieveline.llm.components import components
 from sieveline.session import cut, stage
 
 _LEVELS = 4096
+#: The weight of the commonest shingle as a share of a rare one's. Shingles of a group that holds a large part of all
+#: texts are common; with a weight near 0 small edits would outweigh all that the group shares.
+LEAST_WEIGHT = 0.35
 
 
 def _gamma2_quantiles(n: int) -> np.ndarray:
@@ -140,7 +143,7 @@ def similar_classes(
     top = float(np.log(1 / rare))
     common = _frequencies(classes, words_per_shingle).filter(F.col("n") >= F.lit(rare * n)).toPandas().sort_values("shingle")
     frequent = common["shingle"].to_numpy(np.int64).view(np.uint64)
-    idf = np.minimum(top, np.log(max(1, n) / np.maximum(1, common["n"].to_numpy(np.float64))) + 1e-3)
+    idf = np.clip(np.log(max(1, n) / np.maximum(1, common["n"].to_numpy(np.float64))), LEAST_WEIGHT * top, top)
     shared = classes.sparkSession.sparkContext.broadcast((frequent, idf, top))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
