@@ -1,8 +1,8 @@
 """Oversized texts into pieces at natural boundaries, with a set overlap.
 
 Positions where a text may be cut have a grade: paragraph end, line end, sentence end,
-word end, and, where a stretch without white space is longer than the limit, any
-position. Dynamic programming over these positions minimises the sum of grade
+word end, and, where a stretch without white space is longer than the limit, positions
+of a fine grid. Dynamic programming over these positions minimises the sum of grade
 penalties and of squared deviations of the pieces' lengths from an even split, such
 that no piece is over the limit. Word ends are offered only between stronger
 boundaries that are too far apart, and forced positions only between word ends that
@@ -61,8 +61,9 @@ def _boundaries(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.nda
             if m.end() - m.start() > step:  # white space may be cut anywhere
                 for p in range(m.start() + step, m.end(), step):
                     grade.setdefault(p, 3)
+    grid = max(1, (limit - overlap) // 64)
     for a, b in gaps(sorted(grade), limit):
-        for p in range(a + 1, b):
+        for p in range(a + grid, b, grid):
             grade.setdefault(p, 4)
     at = sorted(grade)
     return np.array([*at, n], np.int64), np.array([*(grade[p] for p in at), 0], np.int64)
