@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.wordstream import kgrams, words
+from sieveline.functions.wordstream import kgrams, mix64, words
 from sieveline.llm._batches import hashed_sample, pieces
 
 #: Short body lines found on inspected pages, lower case.
@@ -189,7 +189,9 @@ def blocks(pages: list[str | None]) -> Blocks:
     shape[:, t0] = ~(bullet | numbered | quoted | (bars >= 2))
     for i, tags in tagged:
         shape[i, t0:] = [any(g == t or (t == "h" and re.fullmatch(r"h[1-6]", g)) for g in tags) for t in TAGS]
-    return Blocks(pg, no, text, shape, w.hash, w.doc)
+    # a short block as a whole is a word of its own
+    short = np.flatnonzero((n_words > 0) & (n_words <= 12))
+    return Blocks(pg, no, text, shape, np.concatenate([w.hash, mix64(whole[short] + np.uint64(1))]), np.concatenate([w.doc, short]))
 
 
 def _padded(page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +227,7 @@ class ChainField:
             s[:, y] += np.bincount(b.word_of, self.word_w[at, y] * value, len(b.page))
         return s
 
-    def fit(self, b: Blocks, label: np.ndarray, *, rounds: int = 120, rate: float = 0.15, l2: float = 2e-4) -> ChainField:
+    def fit(self, b: Blocks, label: np.ndarray, *, rounds: int = 160, rate: float = 0.15, l2: float = 5e-6) -> ChainField:
         """Maximum likelihood by Adam on all pages at once."""
         at, value = self._words(b)
         grid, present = _padded(b.page)
