@@ -210,8 +210,8 @@ def _endings(rows: DataFrame, common: float) -> DataFrame:
     words_ = wanted.select(F.shiftrightunsigned("key", 64 - _BITS).alias("bit")).distinct()
     word = words_.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(pmod(bit, 64))))").alias("v"))
     bitmap = np.zeros(1 << (_BITS - 6), np.uint64)
-    for r in word.toLocalIterator():
-        bitmap[r["w"]] = np.uint64(r["v"] & 0xFFFFFFFFFFFFFFFF)
+    filled = word.toPandas()  # a word of the bitmap a row at most
+    bitmap[filled["w"].to_numpy(np.int64)] = filled["v"].to_numpy(np.int64).view(np.uint64)
     asked = sc.broadcast(bitmap)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
