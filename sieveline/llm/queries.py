@@ -66,7 +66,7 @@ def p5_found(spark, sf):
 
 def p5_neighbours(spark, sf):
     """Queries are the ids divisible by 20, against all rows."""
-    return neighbours.neighbours(_table(spark, sf, "chunks"), queries=F.col("id") % 20 == 0, probe_share=1 / 8)
+    return neighbours.neighbours(_table(spark, sf, "chunks"), queries=F.col("id") % 20 == 0, probe_share=1 / 7, cell_rows=256)
 
 
 def p6_found(spark, sf):
