@@ -111,6 +111,32 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": r"""
             SELECT DISTINCT id, CASE WHEN regexp_matches(content, '\S{1000}\S{1000}\S{49}') THEN 'forced' ELSE 'natural' END AS cut
             FROM scam_documents WHERE length(content) > 2048""",
+        "p3_found": r"""
+            WITH t AS (
+              SELECT DISTINCT 'scam_documents' AS tab, id, content FROM scam_documents UNION SELECT DISTINCT 'chunks', id, content FROM chunks),
+            w AS (
+              SELECT tab, id, list_filter(regexp_split_to_array(lower(nfc_normalize(content)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+              FROM t WHERE content IS NOT NULL),
+            s AS (SELECT DISTINCT tab, id, unnest([hash(w[i], w[i + 1], w[i + 2]) for i in range(1, len(w) - 1)]) AS s FROM w WHERE len(w) >= 3),
+            f AS (SELECT s, count(*) AS n FROM s GROUP BY s),
+            o AS (
+              SELECT tab, id, s, row_number() OVER (PARTITION BY tab, id ORDER BY f.n, s) AS rn, count(*) OVER (PARTITION BY tab, id) AS size
+              FROM s JOIN f USING (s)),
+            -- of two sets that are alike by 0.6, the rarest parts share an element
+            p AS (SELECT * FROM o WHERE rn <= size - ceil(0.6 * size) + 1),
+            c AS (SELECT DISTINCT tab, a.id AS id_a, b.id AS id_b, a.size AS na, b.size AS nb FROM p a JOIN p b USING (tab, s) WHERE a.id < b.id),
+            x AS (
+              SELECT c.tab, id_a, id_b, na, nb, count(*) AS n FROM c JOIN s a ON a.tab = c.tab AND a.id = id_a JOIN s b ON b.tab = c.tab AND b.id = id_b AND b.s = a.s
+              GROUP BY ALL)
+            SELECT tab AS rec_table, id_a, id_b FROM x WHERE n >= 0.6 * (na + nb - n)""",
+        "p5_found": r"""
+            WITH v AS (
+              SELECT DISTINCT id, embedding::DOUBLE[] AS e FROM chunks
+              WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            n AS (
+              SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id
+              QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) <= 5)
+            SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM n WHERE c >= 0.9""",
         "p4_found": r"""
             WITH pool AS (
               SELECT DISTINCT id, replace(replace(lower(trim(scam_type)), '-', '_'), ' ', '_') AS t FROM scam_documents),
