@@ -26,6 +26,8 @@ from sieveline.session import cut
 
 #: Test fingerprints are broadcast up to this many rows (16 bytes and a key each); beyond it the join shuffles.
 BROADCAST_FINGERPRINTS = 500_000
+#: Pairs of keys that share a fingerprint are broadcast to the texts up to this many.
+BROADCAST_HITS = 500_000
 
 
 def winnow(w: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +101,7 @@ def leaks(
     """(train_key, test_key, shared_words): each training text with each test item that shares ``min_words`` words in a row.
 
     ``shared_words`` is the longest shared run. The test side's fingerprints are counted
-    and broadcast only up to BROADCAST_FINGERPRINTS rows; beyond that the join shuffles by hash.
+    and broadcast only up to BROADCAST_FINGERPRINTS rows, hits up to BROADCAST_HITS; beyond that the joins shuffle.
     """
     window = min_words - k + 1
     if k < 1 or window < 1:
@@ -109,8 +111,10 @@ def leaks(
     test_fp = cut(fingerprints(b, "e_key", "e_text", k, window).distinct()).withColumnRenamed("key", "e_key")
     train_fp = fingerprints(a, "t_key", "t_text", k, window).withColumnRenamed("key", "t_key")
     small = test_fp.count() <= BROADCAST_FINGERPRINTS
-    hits = train_fp.join(F.broadcast(test_fp) if small else test_fp, "fp").select("t_key", "e_key").distinct()
-    both = hits.join(a.filter(F.col("t_text").isNotNull()), "t_key").join(b, "e_key")
+    hits = cut(train_fp.join(F.broadcast(test_fp) if small else test_fp, "fp").select("t_key", "e_key").distinct())
+    # few hits go to the texts, so that texts without one are not shuffled
+    few = hits.count() <= BROADCAST_HITS
+    both = a.filter(F.col("t_text").isNotNull()).join(F.broadcast(hits) if few else hits, "t_key").join(b, "e_key")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in pieces(batches, 256):

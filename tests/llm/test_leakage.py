@@ -41,6 +41,7 @@ def test_every_shared_passage_is_found(spark):
 def test_the_shuffled_join_finds_the_same(spark, monkeypatch):
     docs, cases, want = make(spark)
     monkeypatch.setattr(L, "BROADCAST_FINGERPRINTS", 0)
+    monkeypatch.setattr(L, "BROADCAST_HITS", 0)
     assert {(r["doc_id"], r["case_id"]) for r in L.leaks(docs, cases).collect()} == want
 
 
