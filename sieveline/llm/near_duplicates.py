@@ -205,7 +205,7 @@ def _wordy(text, k: int):
 
 def near_pairs(
     tables: dict[str, DataFrame], *, key: str = "id", text: str = "content", words_per_shingle: int = 5, threshold: float = 0.8,
-    measure: str = "weighted", bands: int = 36, rows: int = 4, rare: float = 0.001, expand: int = 32,
+    measure: str = "weighted", bands: int = 44, rows: int = 5, rare: float = 0.001, expand: int = 32,
 ) -> DataFrame:
     """(rec_table, id_a, id_b, similarity): pairs of keys of one table whose texts are alike, smaller key first."""
     if measure not in ("weighted", "plain"):
