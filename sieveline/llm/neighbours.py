@@ -143,26 +143,28 @@ def neighbours(
                 arrays = [pa.array(region[i]), b.column(0), pa.array((i * len(c2) + j).astype(np.int32)), b.column(1)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["g", "c", "cell", "v"])
 
-        def cells_of(x: np.ndarray, c1: np.ndarray, c2: np.ndarray, t: int) -> np.ndarray:
-            step = max(1, 2_000_000 // len(pairs_within(t, len(c1), len(c2))[0]))
-            parts = [nearest_cells(_distances(x[a : a + step, :half], c1), _distances(x[a : a + step, half:], c2), t) for a in range(0, len(x), step)]
-            return np.concatenate(parts)
-
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Queries to the regions of their cells, with the sum of distances of the last cell to visit."""
             c1, c2, region, t = index.value
-            for b in pieces(batches, 1024):
-                g = region[cells_of(_vectors(b.column(1), width), c1, c2, t) // len(c2)]
+            step = max(1, 2_000_000 // len(pairs_within(t, len(c1), len(c2))[0]))
+            for b in pieces(batches, min(step, 1024)):
+                x = _vectors(b.column(1), width)
+                d1, d2 = _distances(x[:, :half], c1), _distances(x[:, half:], c2)
+                cells = nearest_cells(d1, d2, t)
+                row = np.arange(b.num_rows)[:, None]
+                edge = (d1[row, cells // len(c2)] + d2[row, cells % len(c2)]).max(axis=1)
                 to = np.zeros((b.num_rows, int(region.max()) + 1), bool)
-                to[np.arange(b.num_rows)[:, None], g] = True
+                to[row, region[cells // len(c2)]] = True
                 q, g = np.nonzero(to)
                 at = pa.array(q)
-                yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], names=["g", "c", "v"])
+                arrays = [pa.array(g.astype(np.int32)), b.column(0).take(at), pa.array(edge[q].astype(np.float32)), b.column(1).take(at)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["g", "c", "edge", "v"])
 
         asking = vectors
         if queries is not None:
             wanted = members.filter(queries).select("h1", "h2").distinct()
             asking = vectors.join(classes.select("h1", "h2", "c").join(wanted, ["h1", "h2"], "left_semi").select("c"), "c", "left_semi")
-        filed, asked = vectors.mapInArrow(file_, "g int, c long, cell int, v binary"), asking.mapInArrow(ask, "g int, c long, v binary")
+        filed, asked = vectors.mapInArrow(file_, "g int, c long, cell int, v binary"), asking.mapInArrow(ask, "g int, c long, edge float, v binary")
 
         def splits(d: DataFrame, most: int) -> dict[int, int]:  # as many rows as regions
             return {r["g"]: -(-r["count"] // most) for r in d.groupBy("g").count().collect()}
@@ -178,7 +180,7 @@ def neighbours(
         floor_ = -2.0 if min_cosine is None else min_cosine - 1e-6
 
         def block(a: pa.Table, q: pa.Table) -> pa.Table:
-            c1, c2, _, t = index.value
+            c1, c2, _, _ = index.value
             kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             if a.num_rows and q.num_rows:
                 ids, cell = a["c"].to_numpy(), a["cell"].to_numpy()
@@ -187,12 +189,15 @@ def neighbours(
                 qid, y = q["c"].to_numpy(), _vectors(q["v"], width)
                 present = np.unique(cell)
                 worst = np.full(len(qid), floor_, np.float32)
+                edge = q["edge"].to_numpy() + np.float32(1e-5)
+                rows_ = np.unique(present // len(c2))  # the region's first-half centroids
+                filled = np.isin(rows_[:, None] * len(c2) + np.arange(len(c2)), present)
                 probe, of = [], []
                 for s in range(0, len(qid), 2048):
-                    cells = cells_of(y[s : s + 2048], c1, c2, t)
-                    here = np.isin(cells, present)
-                    of.append(np.nonzero(here)[0] + s)
-                    probe.append(cells[here])
+                    d1, d2 = _distances(y[s : s + 2048, :half], c1[rows_]), _distances(y[s : s + 2048, half:], c2)
+                    near, i, j = np.nonzero((d1[:, :, None] + d2[:, None, :] <= edge[s : s + 2048, None, None]) & filled)
+                    of.append(near + s)
+                    probe.append(rows_[i] * len(c2) + j)
                 probe, of = np.concatenate(probe), np.concatenate(of)
                 by = np.argsort(probe, kind="stable")
                 probe, of = probe[by], of[by]
@@ -206,6 +211,14 @@ def neighbours(
                         for m in range(ms, me, 512):
                             sim = yq @ x[m : min(me, m + 512)].T
                             r, c = np.nonzero(sim >= wq)
+                            if len(r) > 4 * k * len(qs) and sim.shape[1] > k + 1:
+                                # no bounds yet: k + 1 of each row, one of which may be the query, are all it can add
+                                top = np.argpartition(sim, sim.shape[1] - k - 1, axis=1)[:, -k - 1 :]
+                                best_ = np.take_along_axis(sim, top, 1)
+                                worst[qs] = np.maximum(worst[qs], best_.min(axis=1))
+                                r, c = np.repeat(np.arange(len(qs)), k + 1), top.ravel()
+                                ok = sim[r, c] >= wq[r, 0]
+                                r, c = r[ok], c[ok]
                             if len(r):
                                 kept.append((qs[r], ids[m + c], sim[r, c]))
                                 held += len(r)
@@ -226,11 +239,11 @@ def neighbours(
             first = np.flatnonzero(np.diff(q, prepend=-1))
             rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
             last = rank == k - 1
-            worst[q[last]] = s[last]
+            worst[q[last]] = np.maximum(worst[q[last]], s[last])
             return q[rank < k], i[rank < k], s[rank < k]
 
         keys = ["g", "bi", "bq"]
-        found = left.select(*keys, "c", "cell", "v").groupBy(*keys).cogroup(right.select(*keys, "c", "v").groupBy(*keys)).applyInArrow(block, out_schema)
+        found = left.select(*keys, "c", "cell", "v").groupBy(*keys).cogroup(right.select(*keys, "c", "edge", "v").groupBy(*keys)).applyInArrow(block, out_schema)
     else:
         found = classes.sparkSession.createDataFrame([], out_schema)
     best_classes = found.withColumn("rank", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("cosine"), "nc"))).filter(F.col("rank") <= k)
