@@ -25,9 +25,10 @@ def signed(h: np.ndarray) -> pa.Array:
 def hashed_sample(df: DataFrame, by: list[str], rows: int) -> DataFrame:
     """About ``rows`` rows of ``df``, those with the least hash of ``by``; all of them if there are no more.
 
-    Chosen by a threshold on the hash, so that no task sends more than its part.
+    Chosen by a threshold on the hash, so that no task sends more than its part; twice ``rows`` at most, also
+    where many rows have one hash.
     """
     n = df.count()
     if n <= rows:
         return df
-    return df.filter(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < F.lit(int((1 << 30) * rows / n)))
+    return df.filter(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < F.lit(int((1 << 30) * rows / n))).limit(2 * rows)
