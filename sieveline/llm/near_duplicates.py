@@ -9,6 +9,12 @@
 3. Every class gets ``bands * rows`` consistent weighted samples of its shingles, weight
    term frequency times inverse document frequency; two texts agree in a sample with a
    chance equal to their weighted Jaccard similarity.
+   For the plain measure the samples are plain too: every distinct shingle has one
+   chance, so that the chance of a candidate follows from the similarity that counts,
+   however common the shingles of a group are, and step 2 is left out. Bands follow from
+   the threshold. Their rows carry the number of shingles and one bit of 64 further
+   samples; pairs whose sizes rule the threshold out, or whose bits differ too often for
+   it, are no candidates.
 4. Classes that agree in a whole band are candidates (an equi-join by band hash, where
    adaptive execution splits hot hashes), and each candidate pair is verified on the
    texts by weighted or plain Jaccard similarity.
@@ -39,6 +45,10 @@ _LEVELS = 4096
 #: The weight of the commonest shingle as a share of a rare one's. Shingles of a group that holds a large part of all
 #: texts are common; with a weight near 0 small edits would outweigh all that the group shares.
 LEAST_WEIGHT = 0.35
+#: Bands and rows of the weighted measure: a pair of weighted similarity s is a candidate with chance 1 - (1 - s ** 5) ** 44.
+WEIGHTED_BANDS = (44, 5)
+#: Chance at the least of a pair at the threshold to be a candidate by the plain measure.
+PLAIN_RECALL = 0.992
 
 
 def _gamma2_quantiles(n: int) -> np.ndarray:
@@ -81,6 +91,38 @@ class Sampler:
         return mix64(out)
 
 
+class PlainSampler:
+    """Samples that two sets of shingles share with a chance equal to their plain Jaccard similarity; weights are not looked at."""
+
+    def __init__(self, samples: int):
+        self.by_sample = multipliers(samples, salt=101)
+
+    def samples(self, ids: np.ndarray, log_weight: np.ndarray | None, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """As those of ``Sampler``."""
+        out = np.empty((len(starts), len(self.by_sample)), np.uint64)
+        for k, m in enumerate(self.by_sample):
+            x = ids * m
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0x9E3779B97F4A7C15)
+            out[:, k] = np.minimum.reduceat(x, starts)
+        return mix64(out)
+
+
+def plain_bands(threshold: float) -> tuple[int, int]:
+    """(bands, rows) that find a pair at ``threshold`` with a chance of PLAIN_RECALL: six rows, or fewer where that takes more than 128 bands."""
+    for rows in range(6, 0, -1):
+        bands = int(np.ceil(np.log(1 - PLAIN_RECALL) / np.log1p(-min(threshold, 0.99) ** rows)))
+        if bands <= 128:
+            break
+    return bands, rows
+
+
+def most_differing(threshold: float) -> int:
+    """Of 64 bits, each of one plain sample: the most in which a pair at ``threshold`` differs, but for one pair in some 7,000."""
+    p = (1 - threshold) / 2
+    return int(64 * p + 3.65 * np.sqrt(64 * p * (1 - p)))
+
+
 def shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text index, shingle, times): the distinct shingles of each text of a small batch, in order."""
     w = words(texts, "lower")
@@ -139,15 +181,18 @@ def similar_classes(
     classes: DataFrame, *, words_per_shingle: int, threshold: float, measure: str, bands: int, rows: int, rare: float
 ) -> DataFrame:
     """(a, b, similarity): pairs of class keys whose texts are alike at least by ``threshold``."""
-    n = classes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    plain = measure == "plain"
     top = float(np.log(1 / rare))
-    common = _frequencies(classes, words_per_shingle).filter(F.col("n") >= F.lit(rare * n)).toPandas().sort_values("shingle")
-    frequent = common["shingle"].to_numpy(np.int64).view(np.uint64)
-    idf = np.clip(np.log(max(1, n) / np.maximum(1, common["n"].to_numpy(np.float64))), LEAST_WEIGHT * top, top)
+    frequent, idf = np.empty(0, np.uint64), np.empty(0)
+    if not plain:
+        n = classes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+        common = _frequencies(classes, words_per_shingle).filter(F.col("n") >= F.lit(rare * n)).toPandas().sort_values("shingle")
+        frequent = common["shingle"].to_numpy(np.int64).view(np.uint64)
+        idf = np.clip(np.log(max(1, n) / np.maximum(1, common["n"].to_numpy(np.float64))), LEAST_WEIGHT * top, top)
     shared = classes.sparkSession.sparkContext.broadcast((frequent, idf, top))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(bands * rows)
+        sampler = PlainSampler(bands * rows + 64) if plain else Sampler(bands * rows)
         frequent, idf, top = shared.value
         m = multipliers(rows, salt=303)
         for b in pieces(batches):
@@ -156,13 +201,19 @@ def similar_classes(
                 continue
             starts = np.flatnonzero(np.diff(doc, prepend=-1))
             sizes = np.diff(np.append(starts, len(doc)))
-            h = sampler.samples(ids, np.log(_weights(ids, times, frequent, idf, top)), starts, sizes)
-            h = (h.reshape(len(starts), bands, rows) * m).sum(axis=2) + np.arange(bands, dtype=np.uint64)
+            h = sampler.samples(ids, None if plain else np.log(_weights(ids, times, frequent, idf, top)), starts, sizes)
+            bits = ((h[:, bands * rows :] & np.uint64(1)) << np.arange(h.shape[1] - bands * rows, dtype=np.uint64)).sum(axis=1)
+            h = (h[:, : bands * rows].reshape(len(starts), bands, rows) * m).sum(axis=2) + np.arange(bands, dtype=np.uint64)
             c = b.column(0).take(pa.array(np.repeat(doc[starts], bands)))
-            yield pa.RecordBatch.from_arrays([c, signed(mix64(h).ravel())], names=["c", "band"])
-
-    signed_ = classes.select("c", "content").mapInArrow(sign, "c long, band long")
-    pairs = signed_.alias("x").join(signed_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c")))
+            more = [signed(np.repeat(bits, bands)), pa.array(np.repeat(sizes, bands).astype(np.int32))] if plain else []
+            yield pa.RecordBatch.from_arrays([c, signed(mix64(h).ravel()), *more], names=["c", "band", "bits", "size"][: 2 + len(more)])
+
+    signed_ = classes.select("c", "content").mapInArrow(sign, "c long, band long" + ", bits long, size int" * plain)
+    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))
+    if plain:
+        meet &= F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(threshold - 1e-9)
+        meet &= F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= most_differing(threshold)
+    pairs = signed_.alias("x").join(signed_.alias("y"), meet)
     pairs = pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     texts = classes.select("c", "content")
     both = pairs.join(texts.withColumnsRenamed({"c": "a", "content": "ta"}), "a").join(texts.withColumnsRenamed({"c": "b", "content": "tb"}), "b")
@@ -172,7 +223,7 @@ def similar_classes(
         for p in pieces(batches, 512):
             n = p.num_rows
             doc, ids, times = shingles([*p.column(2).to_pylist(), *p.column(3).to_pylist()], words_per_shingle)
-            w = np.ones(len(ids)) if measure == "plain" else _weights(ids, times, frequent, idf, top)
+            w = np.ones(len(ids)) if plain else _weights(ids, times, frequent, idf, top)
             pair, second = doc % n, doc >= n
             order = np.lexsort((second, ids, pair))
             pair, ids, w = pair[order], ids[order], w[order]
@@ -205,11 +256,13 @@ def _wordy(text, k: int):
 
 def near_pairs(
     tables: dict[str, DataFrame], *, key: str = "id", text: str = "content", words_per_shingle: int = 5, threshold: float = 0.8,
-    measure: str = "weighted", bands: int = 44, rows: int = 5, rare: float = 0.001, expand: int = 32,
+    measure: str = "weighted", bands: int | None = None, rows: int | None = None, rare: float = 0.001, expand: int = 32,
 ) -> DataFrame:
     """(rec_table, id_a, id_b, similarity): pairs of keys of one table whose texts are alike, smaller key first."""
     if measure not in ("weighted", "plain"):
         raise ValueError("measure is weighted or plain")
+    usual = WEIGHTED_BANDS if measure == "weighted" else plain_bands(threshold)
+    bands, rows = bands or usual[0], rows or usual[1]
     rows_ = _keyed(tables, key, text)
     members = rows_.select(F.xxhash64("content").alias("h1"), F.xxhash64(F.lit(1), F.col("content")).alias("h2"), "t", "id").distinct()
     classes = stage(text_classes(rows_.select("c", "content"), "content"))

@@ -39,6 +39,22 @@ def test_pairs_of_brute_force(spark):
     assert (0, 200) in got and (1, 201) in got and (302, 303) not in got
 
 
+def test_pairs_of_a_group_that_holds_a_third_of_the_texts(spark):
+    base = text()
+    texts = [edited(base, int(n)) for n in RNG.integers(2, 8, 300)] + [text() for _ in range(600)]
+    sets = [{*zip(w, w[1:], w[2:])} for w in (t.lower().split() for t in texts[:300])]
+    place = {s: i for i, s in enumerate(set().union(*sets))}
+    has = np.zeros((300, len(place)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [place[s] for s in x]] = 1
+    both = has @ has.T
+    alike = both / (has.sum(1)[:, None] + has.sum(1) - both) >= 0.6
+    want = {(int(i), int(j)) for i, j in np.argwhere(alike) if i < j}
+    got = {(r["id_a"], r["id_b"]) for r in N.near_pairs({"a": make(spark, list(enumerate(texts)))}, words_per_shingle=3, threshold=0.6, measure="plain").collect()}
+    print("recall", len(got & want) / len(want), "of", len(want))
+    assert not got - want and len(got & want) >= 0.99 * len(want)
+
+
 def test_tables_are_kept_apart(spark):
     t = text()
     a, b = make(spark, [(1, t), (2, t)]), make(spark, [(1, t), (3, edited(t, 1))])
