@@ -81,6 +81,24 @@ def serialised(documents: DataFrame, *, reviewed: bool | None = None) -> DataFra
     return documents.select("id", text.alias("text"))
 
 
+def numbered_queries(queries: DataFrame) -> DataFrame:
+    """(id, number, query): queries (id, key, query) numbered within their document in order of key, not in one task; null ones are none."""
+    q = with_ids(queries.filter("query IS NOT NULL").select(F.col("id").alias("of"), "key", "query"), ["of", "key"])
+    first = q.groupBy("of").agg(F.min("id").alias("first"))
+    return q.join(first, "of").select(F.col("of").alias("id"), (F.col("id") - F.col("first") + 1).alias("number"), "query")
+
+
+def query_sections(queries: DataFrame, *, rows: int = 256) -> DataFrame:
+    """(id, block, text): queries (id, number, query) as sections of at most ``rows`` lines each.
+
+    Sections that are repeated add up, so a document's text and its sections after it are one
+    document; no row holds all queries of one that has many.
+    """
+    line = F.concat(F.col("number").cast("string"), F.lit(". "), "query", F.lit("\n"))
+    blocks = queries.groupBy("id", F.floor((F.col("number") - 1) / rows).alias("block")).agg(F.sort_array(F.collect_list(F.struct("number", line.alias("line")))).alias("lines"))
+    return blocks.select("id", "block", F.concat(F.lit("# User query\n"), F.array_join("lines.line", "")).alias("text"))
+
+
 def _sections(text: str) -> dict[str, list[str]]:
     found: dict[str, list[str]] = {}
     into = None
@@ -105,6 +123,10 @@ def _without_number(line: str) -> str:
     return head[1:].strip() if head != line and head[:1] in (".", ")") else line
 
 
+def _queries(lines: list[str]) -> list[str]:
+    return [q for q in (_without_number(x.strip()) for x in lines) if q]
+
+
 def parse_document(text: str) -> dict:
     """One document of the four-section format, or ValueError; sections come in any order and repeats add up."""
     s = _sections(text)
@@ -117,7 +139,7 @@ def parse_document(text: str) -> dict:
             meta[name.strip()] = value.strip()
     doc = {
         "url": meta.get("url", ""), "title": meta.get("title", ""), "scam_type": meta.get("type", ""), "content": "\n".join(s.get("content", [])).strip(),
-        "user_queries": [q for q in (_without_number(x.strip()) for x in s.get("queries", [])) if q], "prevention": "\n".join(s.get("prevention", [])).strip(),
+        "user_queries": _queries(s.get("queries", [])), "prevention": "\n".join(s.get("prevention", [])).strip(),
         "reviewed": meta.get("reviewed") == "true",
     }
     for name in ("content", "url", "title", "scam_type"):
@@ -158,6 +180,23 @@ def parsed(texts: DataFrame, *, key: str = "id", text: str = "text") -> DataFram
     return texts.select(key, text).mapInArrow(work, f"k {kind}, document struct<{CORPUS_DOCUMENT.replace(' ', ':').replace(',:', ',')}>, reviewed boolean, error string").withColumnRenamed("k", key)
 
 
+def parsed_sections(sections: DataFrame) -> DataFrame:
+    """(id, block, user_queries): sections of ``query_sections`` read back; a null or malformed text has null queries."""
+    kind = sections.schema["id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for t in b.column(2).to_pylist():
+                try:
+                    found.append(_queries(_sections(t or "").get("queries", [])))
+                except ValueError:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string()))], names=["id", "block", "user_queries"])
+
+    return sections.select("id", "block", "text").mapInArrow(work, f"id {kind}, block long, user_queries array<string>")
+
+
 def with_ids(rows: DataFrame, order: list[str], first: int = 1) -> DataFrame:
     """Rows with consecutive ``id`` from ``first`` in the given order, numbered by partition offsets, not in one task."""
     s = cut(rows.orderBy(*order).withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()))

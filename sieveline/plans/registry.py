@@ -248,11 +248,14 @@ def chunk_text(spark, sf):
 
 
 def corpus_parse(spark, sf):
-    """Every document written in the four-section format with its query chunks and read back."""
-    q = _chunks(spark, sf).filter("kind = 'query'").groupBy(F.col("document_id").alias("id")).agg(F.slice(F.sort_array(F.collect_list(F.struct("id", "content"))), 1, 6).alias("q"))
-    d = _documents(spark, sf).join(q.select("id", F.transform("q", lambda x: F.regexp_replace(x.content, r"\s+", " ")).alias("user_queries")), "id", "left")
-    back = corpus.parsed(corpus.serialised(d, reviewed=True))
-    return back.select("id", "reviewed", "error", F.size("document.user_queries").alias("n_queries"), F.length("document.content").alias("n_chars"))
+    """Every document written in the four-section format with all its query chunks and read back, the queries in sections of bounded size."""
+    q = _chunks(spark, sf).filter("kind = 'query'").select(F.col("document_id").alias("id"), F.col("id").alias("key"), F.regexp_replace("content", r"\s+", " ").alias("query"))
+    read = corpus.parsed_sections(corpus.query_sections(corpus.numbered_queries(q)))
+    n = read.groupBy("id").agg(F.sum(F.size("user_queries")).cast("int").alias("n"))
+    d = _documents(spark, sf).withColumn("user_queries", F.lit(None).cast("array<string>"))
+    back = corpus.parsed(corpus.serialised(d, reviewed=True)).join(n, "id", "left")
+    n_queries = F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0)))
+    return back.select("id", "reviewed", "error", n_queries.alias("n_queries"), F.length("document.content").alias("n_chars"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

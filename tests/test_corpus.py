@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sieveline.operators import chunking, corpus
+from sieveline.plans import registry
 
 DOCS = "id long, url string, title string, content string, prevention string, scam_type string"
 GOOD = "# General information\nurl: https://x.test/a\ntitle: T: x\ntype: loan_scam\n# Content\nbody\n\nmore\n# User query\n1. one?\n2) two?\n\n# Prevention\ncare\n"
@@ -39,6 +40,25 @@ def test_round_trip(spark):
     assert back["error"] is None and back["reviewed"] and back["document"]["content"] == "body\nmore" and back["document"]["user_queries"] == ["q1", "q2"]
 
 
+def test_sections_of_queries_add_up_to_the_document(spark):
+    q = spark.createDataFrame([(i % 2, i, f"q{i}" if i != 4 else None) for i in range(21)] + [(7, 99, " ")], "id long, key long, query string")
+    sections = corpus.query_sections(corpus.numbered_queries(q), rows=4).orderBy("id", "block").collect()
+    assert all(r["text"].count("\n") <= 5 for r in sections)
+    d = corpus.parse_document(GOOD.replace("1. one?\n2) two?\n", "") + "".join(r["text"] for r in sections if r["id"] == 0))
+    assert d["user_queries"] == [f"q{i}" for i in range(0, 21, 2) if i != 4]
+    read = corpus.parsed_sections(spark.createDataFrame(sections)).orderBy("id", "block").collect()
+    assert [x for r in read if r["id"] == 1 for x in r["user_queries"]] == [f"q{i}" for i in range(1, 21, 2)] and read[-1]["user_queries"] == []
+
+
+def test_every_query_of_a_document_with_many_is_written_and_read(spark, tmp_path):
+    d = spark.createDataFrame([(1, "https://x.test/a", "t", "body", None, "other"), (2, "https://x.test/b", "t", "body", None, "other"), (3, None, "t", "body", None, "other")], DOCS)
+    c = [(i, 1, "query", f"q {i}\n?") for i in range(700)] + [(800, 2, "content", "body"), (801, 3, "query", "q"), (0, 1, "query", "q 0\n?")]
+    d.write.parquet(f"{tmp_path}/scam_documents.parquet")
+    spark.createDataFrame(c, "id long, document_id long, kind string, content string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r["id"]: (r["n_queries"], r["error"]) for r in registry.corpus_parse(spark, str(tmp_path)).collect()}
+    assert got == {1: (700, None), 2: (0, None), 3: (None, "no url")}
+
+
 def test_prune_report(spark):
     d = spark.createDataFrame([(7, "u7"), (12, "u12"), (9, "u9")], "id long, url string")
     c = spark.createDataFrame([(41, 7, "query"), (50, 12, "content"), (51, 12, "query"), (52, 12, "query"), (60, 9, "content"), (60, 9, "content")], "id long, document_id long, kind string")
