@@ -198,10 +198,15 @@ def slugify(spark, sf):
     return _table(spark, sf, "fetched_docs").dropDuplicates(["fetch_id"]).select("fetch_id", T.slug("url", "title").alias("slug"))
 
 
-def fold_tokens(spark, sf):
-    """The folded words of all corpus texts with the number of texts and of occurrences of each, words of at least a hundred texts."""
+def fold_words(spark, sf):
+    """The folded words of all corpus texts with the number of texts and of occurrences of each."""
     w = _table(spark, sf, "documents").select("doc_id", F.explode(T.tokens("text")).alias("word"))
-    return w.groupBy("doc_id", "word").agg(F.count("*").alias("tf")).groupBy("word").agg(F.count("*").alias("n_texts"), F.sum("tf").alias("n")).filter("n_texts >= 100")
+    return w.groupBy("doc_id", "word").agg(F.count("*").alias("tf")).groupBy("word").agg(F.count("*").alias("n_texts"), F.sum("tf").alias("n"))
+
+
+def fold_tokens(spark, sf):
+    """Of ``fold_words`` the words of at least a hundred texts, as the SQL has them."""
+    return fold_words(spark, sf).filter("n_texts >= 100")
 
 
 def previews(spark, sf):
@@ -263,6 +268,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         list_chunks, url_exists, url_missing, host_allowed, vector_topk, vector_docs, keyword_topk, keyword_docs, hybrid_rrf, hybrid_batch,
         rerank_by_length, dup_audit, dup_summary, near_dup_fold, prune_report, doc_remainder, score_clamp, eval_recall_mrr, eval_confusion,
         eval_rates, eval_by_type, eval_examples, vote_resolution, report_assembly, status_tally, infer_label, label_agreement, validate_content,
-        slugify, fold_tokens, previews, prompt_excerpt, citations, budget_daily, budget_window, token_bucket, dataset_hash, chunk_text, corpus_parse,
+        slugify, fold_words, fold_tokens, previews, prompt_excerpt, citations, budget_daily, budget_window, token_bucket, dataset_hash, chunk_text, corpus_parse,
     ]
     return {f.__name__: f for f in own}

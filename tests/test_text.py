@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
 from sieveline.functions import vector as V
+from sieveline.plans import registry
 
 
 def one(spark, expr, *values):
@@ -80,3 +81,9 @@ def test_cosine_and_score(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     got = [r[0] for r in df.select(F.round(V.cosine("a", "b"), 6)).collect()]
     assert got == [0.707107, 0.0]
+
+
+def test_every_folded_word_is_counted(spark, tmp_path):
+    spark.createDataFrame([(1, "Lừa đảo, LUA dao!"), (2, "lừa 2 lần"), (3, None), (4, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in registry.fold_words(spark, str(tmp_path)).select("word", "n_texts", "n").collect()}
+    assert got == {("lua", 2, 3), ("dao", 1, 2), ("2", 1, 1), ("lan", 1, 1)}
