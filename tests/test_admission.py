@@ -90,3 +90,35 @@ def test_streamed_days(spark, tmp_path):
     df = requests(spark, [(1, "a", 0), (2, "a", 3600 * 16), (3, "a", 3600 * 18)])
     got = run(spark, df, str(tmp_path), daily_counts, "complete")
     assert sorted((str(r[0]), r[1]) for r in got.select(F.col("day_start"), "n").collect()) == [("2025-12-31 17:00:00", 2), ("2026-01-01 17:00:00", 1)]
+
+
+def runs(spark, parts, folder, build, mode):
+    """All rows that one stream writes, run once after each part."""
+    out = []
+    for df in parts:
+        df.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = build(spark.readStream.schema(df.schema).parquet(f"{folder}/in"))
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/cp").foreachBatch(lambda b, _: out.extend(b.collect()))
+        q.trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+def test_streamed_buckets_return_late_rows_and_rows_without_a_key(spark, tmp_path):
+    first = [(i, "ab"[i % 2], 36000 + i * 0.7) for i in range(40)] + [(100, None, 36000), (101, "a", None)]
+    second = [(200 + i, "ab"[i % 2], 36040 + i * 0.7) for i in range(40)]
+    late = [(300 + i, "a", i) for i in range(8)] + [(310, "new", 5)]
+    parts = [requests(spark, first), requests(spark, [*second, *late, (400, None, 3)])]
+    got = runs(spark, parts, str(tmp_path), lambda s: token_buckets(s, 20, 3, late="1 hour"), "append")
+    batch = {r["request_id"]: r["admitted"] for r in A.with_bucket(requests(spark, [*first, *second, (400, None, 3)]), 20, 3).collect()}
+    assert len(got) == len({r[0] for r in got}) == len(batch) + len(late)
+    assert {r["request_id"]: r["admitted"] for r in got if r["request_id"] in batch} == batch
+    assert {r["request_id"] for r in got if r["late"]} == {i for i, _, _ in late} and all(r["admitted"] for r in got if r["late"])
+
+
+def test_streamed_days_count_requests_of_three_days_ago(spark, tmp_path):
+    parts = [requests(spark, [(1, "a", 0), (2, "a", 75 * 3600)]), requests(spark, [(3, "a", 1)])]
+    got = runs(spark, parts, f"{tmp_path}/a", daily_counts, "update")
+    assert max(r["n"] for r in got if str(r["day_start"]) == "2025-12-31 17:00:00") == 2
+    parts = [requests(spark, [(1, "a", 0), (2, "a", 9e6)]), requests(spark, [(3, "a", 1)])]
+    got = runs(spark, parts, f"{tmp_path}/b", lambda s: daily_counts(s, late=None), "update")
+    assert max(r["n"] for r in got if str(r["day_start"]) == "2025-12-31 17:00:00") == 2
