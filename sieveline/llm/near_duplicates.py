@@ -18,9 +18,9 @@
 4. Classes that agree in a whole band are candidates (an equi-join by band hash, where
    adaptive execution splits hot hashes), and each candidate pair is verified on the
    texts by weighted or plain Jaccard similarity.
-5. Pairs of classes become pairs of keys. Classes of up to ``expand`` copies are written
-   out; a larger one takes part through its least key, and its copies are linked to that
-   key, so no link between different texts is lost and output stays linear in copies.
+5. Pairs of classes become pairs of keys. Classes of up to ``expand`` keys in a table are
+   written out there; a larger one takes part through its least key, and its copies are
+   linked to that key, so no link between different texts is lost and output stays linear in copies.
 
 Nulls and edge cases: null texts and texts with fewer words than a shingle take part in
 no pair, nor do texts all of whose shingles weigh nothing; rows repeated whole count
@@ -174,7 +174,9 @@ def _frequencies(classes: DataFrame, k: int) -> DataFrame:
 def text_classes(df: DataFrame, text: str) -> DataFrame:
     """(h1, h2, c, m, content): one row per distinct text with its least key ``c`` and its number of keys ``m``."""
     keyed = df.filter(F.col(text).isNotNull()).select("c", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), F.col(text)).alias("h2"), F.col(text).alias("content"))
-    return keyed.groupBy("h1", "h2").agg(F.min("c").alias("c"), F.count("*").alias("m"), F.min("content").alias("content"))
+    sizes = keyed.select("h1", "h2", "c").distinct().groupBy("h1", "h2").agg(F.count("*").alias("m"))  # apart, so that texts are shuffled once
+    out = keyed.groupBy("h1", "h2").agg(F.min("c").alias("c"), F.min("content").alias("content"))
+    return out.join(sizes, ["h1", "h2"]).select("h1", "h2", "c", "m", "content")
 
 
 def similar_classes(
@@ -270,8 +272,9 @@ def near_pairs(
         similar_classes(classes, words_per_shingle=words_per_shingle, threshold=threshold, measure=measure, bands=bands, rows=rows, rare=rare)
     )
     # members that are written out: all of a small class, the least of each table of a large one
-    m = members.join(classes.select("h1", "h2", "c", "m"), ["h1", "h2"]).select("c", "m", "t", "id")
-    first = m.groupBy("c", "t").agg(F.min("id").alias("id"), F.max("m").alias("m"))
+    m = members.join(classes.select("h1", "h2", "c"), ["h1", "h2"]).select("c", "t", "id")
+    first = m.groupBy("c", "t").agg(F.min("id").alias("id"), F.count("*").alias("m"))
+    m = m.join(first.select("c", "t", "m"), ["c", "t"])
     out = m.filter(F.col("m") <= expand).select("c", "t", "id").unionByName(first.filter(F.col("m") > expand).select("c", "t", "id"))
     cross = (
         alike.join(out.withColumnsRenamed({"c": "a", "id": "ia"}), "a")

@@ -71,6 +71,14 @@ def test_many_copies_form_a_star_and_keep_links_to_other_texts(spark):
     assert {r["group_id"] for r in g} == {0} and len(g) == 51
 
 
+def test_copies_are_counted_by_key_and_table(spark):
+    t = text()
+    a = make(spark, [(i, t) for i in range(20) for _ in range(2)] + [(99, edited(t, 1))])
+    got = {tuple(r)[:3] for r in N.near_pairs({"a": a, "b": make(spark, [(i, t) for i in range(20)])}, threshold=0.5, expand=25).collect()}
+    every = {(i, j) for i in range(20) for j in range(i + 1, 20)}
+    assert got == {(x, i, j) for x in "ab" for i, j in every} | {("a", i, 99) for i in range(20)}
+
+
 def test_empty_table(spark):
     assert N.near_pairs({"a": make(spark, [])}).count() == 0
     assert N.near_groups({"a": make(spark, [(1, "a b c d e f")])}).count() == 0
