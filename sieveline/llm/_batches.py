@@ -22,13 +22,14 @@ def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def hashed_sample(df: DataFrame, by: list[str], rows: int) -> DataFrame:
+def hashed_sample(df: DataFrame, by: list[str], rows: int, *, seed: int = 0) -> DataFrame:
     """About ``rows`` rows of ``df``, those with the least hash of ``by``; all of them if there are no more.
 
-    Chosen by a threshold on the hash, so that no task sends more than its part; twice ``rows`` at most, also
-    where many rows have one hash.
+    Chosen by a threshold on the hash, so that no task sends more than its part. Of rows with equal ``by`` one is
+    kept, so that copies cannot make the sample larger.
     """
     n = df.count()
     if n <= rows:
         return df
-    return df.filter(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < F.lit(int((1 << 30) * rows / n))).limit(2 * rows)
+    some = df.withColumn("sample_hash", F.xxhash64(F.lit(seed), *by)).filter(F.pmod("sample_hash", F.lit(1 << 30)) < F.lit(int((1 << 30) * rows / n)))
+    return some.dropDuplicates(["sample_hash"]).drop("sample_hash")

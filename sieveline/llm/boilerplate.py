@@ -7,12 +7,15 @@ place, length, punctuation, digits, capitals, repetition within the page and its
 A linear-chain conditional random field with the labels body and rest is trained by
 maximum likelihood on labelled pages and decoded by Viterbi for each page.
 
-Labelled pages are made from a bounded sample: ``train_pages`` pages with the least hash
-are labelled by inspection rules. A line most of whose word triples stand in the texts
-of known articles (a sample of ``article_rows``) is body, a line like a headline is not,
-and the few short body lines that articles do not hold (subheadings, closing notes)
-were listed by inspection. The rules only label the sample; pages are decoded by the
-field, whose features say nothing about the known articles.
+Labelled pages are a bounded sample: ``train_pages`` pages with the least hash among those
+of at most ``train_chars`` code points. Their lines are labelled by evidence from all
+tables. Word triples of the sampled lines are looked up in every article and title, and
+the lines themselves in every page. Body is a finished line whose triples stand in
+articles, more than in titles and far more than in site furniture, which are the lines
+that stand alike under several URLs; a finished line in quotes is body too. Evidence
+cannot tell a subheading that many pages share from an inserted label that many pages
+share, so the few such lines (BODY_LINES) were labelled by hand. Labels only train the
+field; pages are decoded by it, and its features say nothing about articles.
 
 Nulls and edge cases: a null or blank page has no lines; blank lines are never body but
 are counted in line numbers; rows repeated whole count once; pages and lines of any
@@ -32,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.wordstream import kgrams, mix64, words
-from sieveline.llm._batches import hashed_sample, pieces
+from sieveline.llm._batches import hashed_sample, pieces, signed
 
-#: Short body lines found on inspected pages, lower case.
+#: Labelled by hand: subheadings and closing notes that many pages share, lower case.
 BODY_LINES = (
     "diễn biến vụ việc", "dấu hiệu nhận biết", "lời khuyên", "cách xử lý", "vì sao nhiều người mắc bẫy", "what happened", "what to do",
     "signs to look for", "how to spot it", "advice", "why people fall for it", "how it works",
@@ -44,15 +47,10 @@ BODY_LINES = (
     "anyone who sees the same signs should tell the local police at once.", "names in this story were changed.",
     "no office works with the public by phone alone.",
 )
-#: How lines outside the body begin that hold body-like wording, lower case.
-REST_STARTS = (
-    "giấy phép số", "licence", "license", "tòa soạn", "từ khóa", "tags:", "ghi rõ nguồn", "đăng ký nhận", "sign up", "©", "bằng việc", "trang này dùng",
-    "một số cookie", "chúng tôi cùng", "bạn có thể đổi", "by reading on", "this site uses", "some cookies", "we and our", "you can change", "xem thêm",
-    "bài đọc tiếp", "read more", "read next", ">>", "tin tài trợ", "sponsored", "chịu trách nhiệm nội dung", "newsroom", "theo dõi",
-)
 TAGS = ("p", "li", "h", "blockquote", "nav", "footer", "aside", "a", "td", "form")
 _MARKUP = re.compile(r"<(?:html|body|div|p|ul|article|table)[\s>]", re.IGNORECASE)
 _ENDED = re.compile(r"(?<!\.)[.!?][\"”’»)]*$")
+_TRIPLE = 3
 _WIDTH = 34  # columns of ``shape``
 
 
@@ -124,6 +122,13 @@ for _c in range(0x3100):
     _KIND[_c] = 1 if _ch.isdigit() else 2 if _ch.isupper() else 3 if _ch.isalpha() else 0
 
 
+def _apart(codes: np.ndarray, mark: int) -> np.ndarray:
+    """Where ``mark`` stands with blanks on both sides."""
+    out = np.zeros(len(codes), bool)
+    out[1:-1] = (codes[1:-1] == mark) & (codes[:-2] == 32) & (codes[2:] == 32)
+    return out
+
+
 def blocks(pages: list[str | None]) -> Blocks:
     """Features of all non-blank blocks of a batch of pages."""
     text: list[str] = []
@@ -155,7 +160,9 @@ def blocks(pages: list[str | None]) -> Blocks:
     n_words = np.diff(w.first)
     first, last = codes[start], codes[start + length - 1]
     digits, upper, letters = total(kind == 1), total(kind == 2), total(kind >= 2)
-    bars = total(np.isin(codes, _SEPARATORS) | (codes == ord("/")) | (codes == ord(">")))
+    bars = total(np.isin(codes, _SEPARATORS) | (codes == ord(">")))
+    # a slash between blanks separates, one within a date or an address does not
+    bars += total(_apart(codes, ord("/")))
     stops = total(np.isin(codes, np.array([ord("."), ord("!"), ord("?")], np.uint32)))
     quote_end = np.isin(last, np.array([ord(c) for c in "\"”’)»"], np.uint32))
     mark = np.where(quote_end & (length > 1), codes[np.maximum(start, start + length - 2)], last)
@@ -294,45 +301,111 @@ class ChainField:
         return out
 
 
-def inspect_labels(b: Blocks, articles: list[str | None], titles: list[str | None]) -> np.ndarray:
-    """Labels of the training blocks by the inspection rules; 1 is body."""
+def line_hashes(texts: list[str]) -> np.ndarray:
+    """One hash for the words of each line, 0 for a line without words."""
+    w = words(texts, "lower")
+    out = np.zeros(len(texts), np.uint64)
+    np.add.at(out, w.doc, w.hash)
+    return out
 
-    def share(texts: list[str | None], least: int) -> np.ndarray:
-        u, n = np.unique(kgrams(words(texts, "lower"), 3)[0], return_counts=True)
-        u = u[n >= least]
-        w = words(b.text, "lower")
-        h, at = kgrams(w, 3)
-        of = w.doc[at]
-        hit = u[np.minimum(np.searchsorted(u, h), len(u) - 1)] == h if len(u) else np.zeros(len(h), bool)
-        n_all = np.bincount(of, minlength=len(b.text))
-        return np.bincount(of, hit, len(b.text)) / np.maximum(n_all, 1)
 
-    body = share(articles, 2)
-    head = share(titles, 2)
-    ended = np.array([bool(_ENDED.search(t)) for t in b.text], bool)
-    rest = np.array([t.lower().startswith(REST_STARTS) for t in b.text], bool)
+@dataclass
+class Evidence:
+    """Of the sampled lines: the triples that articles and titles hold at least twice, and the lines under several URLs; rising hashes."""
+
+    article: np.ndarray
+    title: np.ndarray
+    repeated: np.ndarray
+
+
+def _within(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
+def evidence_labels(b: Blocks, known: Evidence) -> np.ndarray:
+    """Labels of the training blocks by evidence; 1 is body."""
+    m = len(b.text)
+    w = words(b.text, "lower")
+    h, at = kgrams(w, _TRIPLE)
+    of = w.doc[at]
+    n = np.maximum(np.bincount(of, minlength=m), 1)
+    repeated = _within(known.repeated, line_hashes(b.text))
     listed = np.array([t.lower() in BODY_LINES for t in b.text], bool)
+    furniture = np.unique(h[(repeated & ~listed)[of]])
+    of_site = _within(furniture, h)
+    article, title, site = (np.bincount(of, x, m) / n for x in (_within(known.article, h), _within(known.title, h), of_site))
+    opens = np.zeros(m, bool)  # begins as a line of the site does
+    opens[of[at == w.first[of]]] = of_site[at == w.first[of]]
+    ended = np.array([bool(_ENDED.search(t)) for t in b.text], bool)
     quoted = np.array([t[0] in "“\"«" and t[-1] in "”\"»" for t in b.text], bool)
-    bar = b.shape[:, 13] * 6 >= 2
-    return ((((body >= 0.35) & (body > head) | quoted) & ended & ~rest & ~bar) | listed).astype(np.int64)
+    told = (article >= 0.1) & (article > title) & (article > 2 * site) & ~opens
+    return ((ended & ~repeated & (told | quoted)) | listed).astype(np.int64)
+
+
+def _held(texts: DataFrame, wanted: np.ndarray, least: int = 2) -> np.ndarray:
+    """Which of the ``wanted`` triples (rising) stand in ``texts`` (text) ``least`` times or more; all texts are read."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in pieces(batches, 512):
+            h = kgrams(words(p.column(0).to_pylist(), "lower"), _TRIPLE)[0]
+            u, n = np.unique(h[_within(shared.value, h)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([signed(u), pa.array(n)], names=["h", "n"])
 
+    found = texts.filter("text IS NOT NULL").mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return np.sort(found.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))  # no more than wanted
 
-def train(pages: DataFrame, articles: DataFrame, *, train_pages: int = 2000, article_rows: int = 4000, least_pages: int = 4) -> ChainField:
-    """The field fitted on a bounded, labelled sample of pages, chosen by hash."""
-    full = pages.filter(F.length(F.trim("content")) > 0).select("content")
-    some = sorted(hashed_sample(full, ["content"], train_pages).collect())
-    known = hashed_sample(articles.select("content", "prevention", "title"), ["content", "title"], article_rows).collect()
+
+def _repeated(pages: DataFrame, wanted: np.ndarray) -> np.ndarray:
+    """Which of the ``wanted`` lines (rising) stand under more than one URL of ``pages`` (url, content)."""
+    shared = pages.sparkSession.sparkContext.broadcast(wanted)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in pieces(batches, 512):
+            text, of = [], []
+            for i, t in enumerate(p.column(1).to_pylist()):
+                lines = [x for x in t.split("\n") if x]
+                text += lines
+                of += [i] * len(lines)
+            h, url = line_hashes(text), p.column(0).to_numpy()[np.array(of, np.int64)]
+            keep = _within(shared.value, h)
+            order = np.lexsort((url[keep], h[keep]))
+            h, url = h[keep][order], url[keep][order]
+            first = np.flatnonzero(np.diff(h, prepend=h[:1] + np.uint64(1)))
+            last = np.append(first[1:], len(h)) - 1 if len(first) else first
+            yield pa.RecordBatch.from_arrays([signed(h[first]), pa.array(url[first]), pa.array(url[last])], names=["h", "lo", "hi"])
+
+    rows = pages.filter("content IS NOT NULL").select(F.xxhash64("url").alias("url"), "content")
+    found = rows.mapInArrow(work, "h long, lo long, hi long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
+    return np.sort(found.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))  # no more than wanted
+
+
+def train(
+    pages: DataFrame, articles: DataFrame, *, train_pages: int = 2000, train_chars: int = 100_000, least_pages: int = 4, seed: int = 0
+) -> ChainField:
+    """The field fitted on a bounded sample of ``pages`` (url, content), chosen by hash and labelled by evidence."""
+    full = pages.filter((F.length(F.trim("content")) > 0) & (F.length("content") <= train_chars)).select("content")
+    some = sorted(hashed_sample(full, ["content"], train_pages, seed=seed).collect())
     b = blocks([r["content"] for r in some])
-    label = inspect_labels(b, [r["content"] for r in known] + [r["prevention"] for r in known], [r["title"] for r in known])
+    if not len(b.page):
+        return ChainField(np.zeros(0, np.uint64))
+    triples = np.unique(kgrams(words(b.text, "lower"), _TRIPLE)[0])
+    cells = articles.select(F.explode(F.array("content", "prevention")).alias("text"))
+    known = Evidence(_held(cells, triples), _held(articles.select(F.col("title").alias("text")), triples), _repeated(pages, np.unique(line_hashes(b.text))))
     pairs = np.unique(np.stack([b.word, b.page[b.word_of].astype(np.uint64)]), axis=1) if len(b.word) else np.zeros((2, 0), np.uint64)
     u, n = np.unique(pairs[0], return_counts=True)
-    field = ChainField(u[n >= least_pages])
-    return field.fit(b, label) if len(b.page) else field
+    return ChainField(u[n >= least_pages]).fit(b, evidence_labels(b, known))
+
 
+def body_lines(
+    pages: DataFrame, articles: DataFrame, *, key: str = "fetch_id", url: str = "url", text: str = "content", field: ChainField | None = None, **options
+) -> DataFrame:
+    """(key, line_no, line): the lines of each page's main body in order.
 
-def body_lines(pages: DataFrame, articles: DataFrame, *, key: str = "fetch_id", text: str = "content", **options) -> DataFrame:
-    """(key, line_no, line): the lines of each page's main body in order; ``options`` go to ``train``."""
-    field = pages.sparkSession.sparkContext.broadcast(train(pages.select(F.col(text).alias("content")), articles, **options))
+    ``field`` is one that ``train`` gave; without it one is trained first with ``options``.
+    """
+    field = field or train(pages.select(F.col(url).alias("url"), F.col(text).alias("content")), articles, **options)
+    field = pages.sparkSession.sparkContext.broadcast(field)
     kind = pages.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

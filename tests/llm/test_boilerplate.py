@@ -12,14 +12,21 @@ def page(i, n=3):
     return "\n".join([MENU, "", *BODY[i : i + n], "Xem thêm: Cảnh báo giả", "© 2024 Trang. Giữ toàn quyền.", "Về đầu trang"])
 
 
+def story(i):
+    """A page whose body lines stand on no other page, though their wording does."""
+    lines = [f"Nạn nhân ở xã {a} kể rằng nhóm lạ gọi điện ngày {i + 1}/{j}/2021 và đòi chuyển tiền ngay lập tức." for j, a in enumerate(("Lam", "Mây", "Quế"))]
+    return "\n".join([MENU, "", *lines, "Xem thêm: Cảnh báo giả", "© 2024 Trang. Giữ toàn quyền.", "Về đầu trang"])
+
+
 def tables(spark, pages):
-    p = spark.createDataFrame(pages, "fetch_id long, content string, line_no string, k string")
+    pages = [(i, f"https://a{i % 3}.example/{i}", *more) for i, *more in pages]
+    p = spark.createDataFrame(pages, "fetch_id long, url string, content string, line_no string, k string")
     a = spark.createDataFrame([("\n".join(BODY), None, "Cảnh báo giả")] * 3, "content string, prevention string, title string")
     return p, a
 
 
 def test_body_lines_of_unseen_pages(spark):
-    pages = [(i, page(i % 15), "x", "y") for i in range(40)] + [(0, page(0), "x", "y"), (90, None, "x", "y"), (91, " \n", "x", "y"), (92, MENU, "x", "y")]
+    pages = [(i, story(i), "x", "y") for i in range(40)] + [(0, story(0), "x", "y"), (90, None, "x", "y"), (91, " \n", "x", "y"), (92, MENU, "x", "y")]
     got = B.body_lines(*tables(spark, pages), least_pages=1).collect()
     assert {r["line_no"] for r in got if r["fetch_id"] == 7} == {3, 4, 5}
     assert not {90, 91, 92} & {r["fetch_id"] for r in got}
@@ -27,11 +34,28 @@ def test_body_lines_of_unseen_pages(spark):
 
 
 def test_empty_tables(spark):
-    p, a = tables(spark, [(1, page(0), "x", "y")])
+    p, a = tables(spark, [(1, story(0), "x", "y")])
     assert B.body_lines(p.limit(0), a.limit(0)).count() == 0
     assert B.body_lines(p, a.limit(0), least_pages=1).count() == 0
 
 
+def test_a_trained_field_is_passed_in(spark):
+    p, a = tables(spark, [(i, story(i), "x", "y") for i in range(30)])
+    field = B.train(p, a, least_pages=1)
+    assert B.body_lines(p, a.limit(0), field=field).filter("fetch_id = 3").count() == 3
+
+
+def test_labels_by_evidence(spark):
+    text = "Theo tin báo ngày 3/12/2021, kẻ gian dựng trang a.example/7 để lừa tiền."
+    other = "Giữ toàn quyền nội dung của trang, ghi rõ nguồn khi phát hành lại."
+    p = spark.createDataFrame([("u1", f"{text}\n{other}\n“Tôi mất hết.”"), ("u2", f"{other}\nLời khuyên"), ("u2", f"{other}")], "url string, content string")
+    b = B.blocks([p.first()["content"] + "\nLời khuyên"])
+    triples = np.unique(B.kgrams(B.words(b.text, "lower"), 3)[0])
+    cells = spark.createDataFrame([(text,), (text,), (None,), (other[:20],)], "text string")
+    known = B.Evidence(B._held(cells, triples), B._held(cells.limit(0), triples), B._repeated(p, np.unique(B.line_hashes(b.text))))
+    assert B.evidence_labels(b, known).tolist() == [1, 0, 1, 1] and b.shape[0, 13] == 0
+
+
 def test_leaf_blocks_of_markup():
     html = "<html><body><nav><a href='x'>Menu</a></nav><div><p>Một <b>hai</b>.</p><ul><li>ba</li></ul></div><script>var x;</script></body></html>"
     got = B.leaf_blocks(html)
