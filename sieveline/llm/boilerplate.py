@@ -331,9 +331,11 @@ def evidence_labels(b: Blocks, known: Evidence) -> np.ndarray:
     n = np.maximum(np.bincount(of, minlength=m), 1)
     repeated = _within(known.repeated, line_hashes(b.text))
     listed = np.array([t.lower() in BODY_LINES for t in b.text], bool)
-    furniture = np.unique(h[(repeated & ~listed)[of]])
+    of_article = _within(known.article, h)
+    # a page that is there under two addresses repeats its body, so what articles hold is no furniture
+    furniture = np.unique(h[(repeated & ~listed)[of] & ~of_article])
     of_site = _within(furniture, h)
-    article, title, site = (np.bincount(of, x, m) / n for x in (_within(known.article, h), _within(known.title, h), of_site))
+    article, title, site = (np.bincount(of, x, m) / n for x in (of_article, _within(known.title, h), of_site))
     opens = np.zeros(m, bool)  # begins as a line of the site does
     opens[of[at == w.first[of]]] = of_site[at == w.first[of]]
     ended = np.array([bool(_ENDED.search(t)) for t in b.text], bool)
@@ -375,7 +377,8 @@ def _repeated(pages: DataFrame, wanted: np.ndarray) -> np.ndarray:
             last = np.append(first[1:], len(h)) - 1 if len(first) else first
             yield pa.RecordBatch.from_arrays([signed(h[first]), pa.array(url[first]), pa.array(url[last])], names=["h", "lo", "hi"])
 
-    rows = pages.filter("content IS NOT NULL").select(F.xxhash64("url").alias("url"), "content")
+    address = F.regexp_replace(F.lower("url"), r"^https?://(www\.)?|[/?#]+$|[?#].*$", "")  # the same page whatever the scheme and the query
+    rows = pages.filter("content IS NOT NULL").select(F.xxhash64(address).alias("url"), "content")
     found = rows.mapInArrow(work, "h long, lo long, hi long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
     return np.sort(found.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))  # no more than wanted
 
