@@ -28,13 +28,60 @@ LABEL_KEYWORDS = (
     ("romance_scam", ("tình cảm", "hẹn hò", "kết bạn", "người nước ngoài", "gửi quà")),
     ("vacation_contract", ("hợp đồng kỳ nghỉ", "resort", "timeshare", "sở hữu kỳ nghỉ")),
 )
-#: Tags taken out of text that goes into a prompt.
-PROMPT_TAGS = ("<suspicious_message>", "</suspicious_message>", "<reference_data>", "</reference_data>", "<|im_start|>", "<|im_end|>", "[INST]", "[/INST]")
+#: What fences the parts of a prompt, and the tags taken out of text that goes into one.
+MESSAGE_FENCE = ("<tin_nhan_can_kiem_tra>", "</tin_nhan_can_kiem_tra>")
+REFERENCE_FENCE = ("<mau_tham_chieu>", "</mau_tham_chieu>")
+MODEL_TAGS = ("<|im_start|>", "<|im_end|>", "[INST]", "[/INST]")
+PROMPT_TAGS = (*MESSAGE_FENCE, *REFERENCE_FENCE, *MODEL_TAGS)
+#: The same for a prompt about a web page.
+WEB_TAGS = ("<noi_dung_trang_web>", "</noi_dung_trang_web>", *MODEL_TAGS)
+
+
+def _column(col: Column | str) -> Column:
+    return F.col(col) if isinstance(col, str) else col
 
 
 def trimmed(col: Column | str) -> Column:
-    """Without white space at both ends, line breaks and tabs too."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    """Without white space at both ends: line breaks, tabs and the spaces of Unicode too."""
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+
+
+def one_line(col: Column | str) -> Column:
+    """Runs of white space as one blank, none at the ends."""
+    return trimmed(F.regexp_replace(col, r"(?U)\s+", " "))
+
+
+def plural(n: Column | str) -> Column:
+    """The ending of a noun after a number: empty for one."""
+    return F.when(_column(n) == 1, "").otherwise("s")
+
+
+def joined_ids(ids: Column | str) -> Column:
+    """Numbers with commas between, or ``(none)``."""
+    return F.when(F.size(ids) > 0, F.array_join(F.transform(ids, lambda i: i.cast("string")), ", ")).otherwise("(none)")
+
+
+def id_list(col: Column | str) -> Column:
+    """The different numbers of a comma list in order of appearance; null if a field that is not blank is no number."""
+    fields = F.filter(F.transform(F.split(col, ","), trimmed), lambda f: f != "")
+    ids = F.transform(fields, lambda f: F.when(f.rlike(r"^[+-]?\d+$"), f.try_cast("long")))
+    return F.when(~F.exists(ids, lambda i: i.isNull()), F.array_distinct(ids))
+
+
+def percent(share: Column | str) -> Column:
+    """A share as a percentage with one digit."""
+    return F.concat(F.format_string("%.1f", _column(share) * 100), F.lit("%"))
+
+
+def bullets(items: Column | str, none: str = "") -> Column:
+    """A line for each item, or ``none`` where there are no items."""
+    return F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), "")).otherwise(none)
+
+
+def query_problem(col: Column | str, most: int = 5000) -> Column:
+    """Why a query is not searched for, or null: without white space at the ends it has 1 to ``most`` code points. A null is ``empty``."""
+    n = F.length(trimmed(F.coalesce(_column(col), F.lit(""))))
+    return F.when(n == 0, "empty").when(n > most, "too long")
 
 
 def folded(col: Column | str) -> Column:
@@ -58,7 +105,7 @@ def infer_label(title: Column | str, content: Column | str) -> Column:
 
     Nulls count as empty.
     """
-    text = F.lower(F.concat_ws(" ", F.coalesce(title if isinstance(title, Column) else F.col(title), F.lit("")), F.coalesce(content if isinstance(content, Column) else F.col(content), F.lit(""))))
+    text = F.lower(F.concat_ws(" ", F.coalesce(_column(title), F.lit("")), F.coalesce(_column(content), F.lit(""))))
     out = None
     for name, words in LABEL_KEYWORDS:
         hit = text.rlike("|".join(words))
@@ -82,8 +129,8 @@ def slug(url: Column | str, title: Column | str) -> Column:
     def simple(c: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9-]+", "-"), "-{2,}", "-"), "^-|-$", "")
 
-    u = F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit(""))
-    t = F.coalesce(F.col(title) if isinstance(title, str) else title, F.lit(""))
+    u = F.coalesce(_column(url), F.lit(""))
+    t = F.coalesce(_column(title), F.lit(""))
     path = F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
     last = F.regexp_extract(F.regexp_replace(path, "/+$", ""), r"([^/]*)$", 1)
     stem = F.regexp_replace(last, r"(.)\.[^.]*$", "$1")
@@ -92,15 +139,17 @@ def slug(url: Column | str, title: Column | str) -> Column:
 
 
 def content_problem(col: Column | str) -> Column:
-    """Why a text is not worth indexing, or null: checks in order of size, words, readable share.
+    """Why a text is not worth indexing, or null: checks in order of size, encoding, words, readable share.
 
-    At most 10 MiB, 20 to 500,000 words, at least half of the characters readable. A null text is ``empty``.
+    At most 10 MiB, valid UTF-8, 20 to 500,000 words between white space of Unicode, at least half of the
+    characters readable: letters, marks, digits, punctuation, symbols and white space. A null text is ``empty``.
     """
-    c = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
-    n = F.size(F.filter(F.split(c, r"[ \t\n\r\f\x0b]+"), lambda w: w != ""))
-    odd = F.length(c) - F.length(F.regexp_replace(c, r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}&&[^ \t\n\r\f\x0b]]", ""))
+    c = F.coalesce(_column(col), F.lit(""))
+    n = F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
+    odd = F.length(c) - F.length(F.regexp_replace(c, r"(?U)[^\p{L}\p{M}\p{N}\p{P}\p{S}\s]", ""))
     return (
         F.when(F.octet_length(c) > 10 * 1024 * 1024, "too large")
+        .when(~F.is_valid_utf8(c), "not utf-8")
         .when(n == 0, "empty")
         .when(n < 20, "too short")
         .when(n > 500_000, "too long")
@@ -110,21 +159,23 @@ def content_problem(col: Column | str) -> Column:
 
 def unescaped_newlines(col: Column | str) -> Column:
     """Escape sequences written out as two characters turned into line breaks."""
-    c = F.col(col) if isinstance(col, str) else col
+    c = _column(col)
     return F.replace(F.replace(F.replace(c, F.lit("\\r\\n"), F.lit("\n")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\n"))
 
 
-def sanitised(col: Column | str) -> Column:
-    """Without control characters but line breaks and tabs, and without PROMPT_TAGS, one pass each in order."""
-    out = F.regexp_replace(col, r"[\x00-\x08\x0b-\x1f]", "")
-    for tag in PROMPT_TAGS:
+def sanitised(col: Column | str, tags: tuple[str, ...] = PROMPT_TAGS) -> Column:
+    """Without bytes that are no UTF-8, control characters but line breaks and tabs, and ``tags``, one pass each in order."""
+    c = _column(col)
+    valid = F.when(F.is_valid_utf8(c), c).otherwise(F.replace(F.make_valid_utf8(c), F.lit("\ufffd"), F.lit("")))
+    out = F.regexp_replace(valid, r"[\x00-\x08\x0b-\x1f]", "")
+    for tag in tags:
         out = F.replace(out, F.lit(tag), F.lit(""))
     return out
 
 
 def truncated_bytes(col: Column | str, n: int) -> Column:
     """At most ``n`` UTF-8 bytes, never half a character, with ``...`` where something was left out."""
-    c = F.col(col) if isinstance(col, str) else col
+    c = _column(col)
     b = F.encode(c, "UTF-8")
     # continuation bytes at the cut belong to a character that would not be whole
     back = F.lit(0)

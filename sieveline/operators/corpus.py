@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import trimmed
-from sieveline.schemas import CORPUS_DOCUMENT, SCAM_TYPES
+from sieveline.schemas import SCAM_TYPES
 from sieveline.session import cut
 
-_SECTIONS = {"General information": "general", "Content": "content", "User query": "queries", "Prevention": "prevention"}
+#: The names of the sections.
+_SECTIONS = ("General information", "Content", "User query", "Prevention")
+_HEADER = r"(?U)\n(?=[\s&&[^\n]]*# [^\n]*\S)"
 
 
 def listed_chunks(chunks: DataFrame, documents: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` chunks by id with their document's title, type and URL."""
-    d = documents.dropDuplicates(["id"]).select(F.col("id").alias("document_id"), "title", "scam_type", "url")
-    return chunks.dropDuplicates(["id"]).select("id", "document_id", "kind", "content").join(d, "document_id").orderBy("id").limit(limit)
+    """The first ``limit`` chunks by id with their document's title, type and URL.
+
+    The ids are found first, so that only their content is read, and none is shuffled.
+    """
+    d = documents.select(F.col("id").alias("document_id"), "title", "scam_type", "url")
+    ids = chunks.select("id", "document_id").join(d.select("document_id"), "document_id", "left_semi").select("id").distinct().orderBy("id").limit(limit)
+    few = chunks.select("id", "document_id", "kind", "content").join(F.broadcast(ids), "id", "left_semi").distinct()  # ``limit`` ids
+    return few.join(d.distinct(), "document_id").orderBy("id")
 
 
 def known_urls(pages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -99,102 +103,73 @@ def query_sections(queries: DataFrame, *, rows: int = 256) -> DataFrame:
     return blocks.select("id", "block", F.concat(F.lit("# User query\n"), F.array_join("lines.line", "")).alias("text"))
 
 
-def _sections(text: str) -> dict[str, list[str]]:
-    found: dict[str, list[str]] = {}
-    into = None
-    for line in text.lstrip("﻿ \t\r\n").split("\n"):
-        bare = line.strip()
-        if bare.startswith("# "):
-            into = _SECTIONS.get(bare[2:].strip())
-            if into is None:
-                raise ValueError(f"unknown section {bare[2:].strip()!r}")
-            found.setdefault(into, [])
-        elif into is not None:
-            found[into].append(line)
-        elif bare:
-            raise ValueError("text before the first section")
-    if not found:
-        raise ValueError("no sections")
-    return found
-
-
-def _without_number(line: str) -> str:
-    head = line.lstrip("0123456789")
-    return head[1:].strip() if head != line and head[:1] in (".", ")") else line
-
-
-def _queries(lines: list[str]) -> list[str]:
-    return [q for q in (_without_number(x.strip()) for x in lines) if q]
-
-
-def parse_document(text: str) -> dict:
-    """One document of the four-section format, or ValueError; sections come in any order and repeats add up."""
-    s = _sections(text)
-    if "general" not in s:
-        raise ValueError("no general information")
-    meta: dict[str, str] = {}
-    for line in s["general"]:
-        name, colon, value = line.partition(":")
-        if colon:
-            meta[name.strip()] = value.strip()
-    doc = {
-        "url": meta.get("url", ""), "title": meta.get("title", ""), "scam_type": meta.get("type", ""), "content": "\n".join(s.get("content", [])).strip(),
-        "user_queries": _queries(s.get("queries", [])), "prevention": "\n".join(s.get("prevention", [])).strip(),
-        "reviewed": meta.get("reviewed") == "true",
-    }
-    for name in ("content", "url", "title", "scam_type"):
-        if not doc[name]:
-            raise ValueError(f"no {name}")
-    if not doc["url"].lower().startswith(("http://", "https://")):
-        raise ValueError("url is not http(s)")
-    if doc["scam_type"] not in SCAM_TYPES:
-        raise ValueError(f"unknown type {doc['scam_type']!r}")
-    return doc
+def _sections(text: Column) -> Column:
+    """A text cut before each of its header lines: (name, body) of every section, after an element with what stands before the first one."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), "^[\ufeff \t\r\n]+", "")
+    parts = F.split(F.concat(F.lit("\n"), bare), _HEADER)
+
+    def named(part: Column) -> Column:
+        end = F.locate("\n", part)
+        name = trimmed(F.substring(trimmed(F.substring_index(part, "\n", 1)), 3, 1_000_000))
+        return F.struct(name.alias("name"), F.when(end > 0, part.substr(end + 1, F.length(part))).alias("body"))
+
+    before = F.array(F.struct(F.lit(None).cast("string").alias("name"), parts[0].alias("body")))
+    return F.concat(before, F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), named))
+
+
+def _body(sections: Column, name: str) -> Column:
+    """The lines of all sections of a name, one after the other; null if there is no such section."""
+    own = F.filter(sections, lambda x: x["name"] == name)
+    return F.when(F.size(own) > 0, F.array_join(F.transform(own, lambda x: x["body"]), "\n"))
+
+
+def _value(lines: Column, key: str) -> Column:
+    """What stands after the colon of the last line ``key: value``, else empty."""
+    own = F.filter(lines, lambda x: (F.locate(":", x) > 0) & (trimmed(F.substring_index(x, ":", 1)) == key))
+    last = F.try_element_at(own, F.lit(-1))
+    return F.coalesce(trimmed(last.substr(F.locate(":", last) + 1, F.length(last))), F.lit(""))
+
+
+def _numbered_lines(body: Column) -> Column:
+    """Lines that are not blank, without a number before them."""
+    bare = F.transform(F.split(body, "\n"), lambda x: trimmed(F.regexp_replace(trimmed(x), r"^\d+[.)]", "")))
+    return F.when(body.isNotNull(), F.filter(bare, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
 def parsed(texts: DataFrame, *, key: str = "id", text: str = "text") -> DataFrame:
     """(key, document, reviewed, error): texts of the four-section format; ``error`` says why a text is none, and ``document`` is null then.
 
-    A null text is an error. A text that is malformed never fails the job.
+    Sections come in any order and repeats add up. The first failing check names the error. A null text is
+    an error, and a text that is malformed never fails the job. Everything is a column expression.
     """
-    kind = texts.schema[key].dataType.simpleString()
-    fields = [f.split()[0] for f in CORPUS_DOCUMENT.split(", ")]
-    doc_type = pa.struct([(f, pa.list_(pa.string()) if f == "user_queries" else pa.string()) for f in fields])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, flags, errors = [], [], []
-            for t in b.column(1).to_pylist():
-                try:
-                    d = parse_document(t or "")
-                    docs.append({f: d[f] for f in fields})
-                    flags.append(d["reviewed"])
-                    errors.append(None)
-                except ValueError as x:
-                    docs.append(None)
-                    flags.append(False)
-                    errors.append(str(x))
-            arrays = [b.column(0), pa.array(docs, doc_type), pa.array(flags), pa.array(errors, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["k", "document", "reviewed", "error"])
-
-    return texts.select(key, text).mapInArrow(work, f"k {kind}, document struct<{CORPUS_DOCUMENT.replace(' ', ':').replace(',:', ',')}>, reviewed boolean, error string").withColumnRenamed("k", key)
+    s = texts.select(key, _sections(F.col(text)).alias("s"))
+    s = s.select(key, "s", _body(F.col("s"), "General information").alias("general"))
+    s = s.withColumn("lines", F.split(F.coalesce("general", F.lit("")), "\n"))
+    fields = {
+        "url": _value(F.col("lines"), "url"), "title": _value(F.col("lines"), "title"), "scam_type": _value(F.col("lines"), "type"),
+        "content": trimmed(F.coalesce(_body(F.col("s"), "Content"), F.lit(""))), "user_queries": _numbered_lines(_body(F.col("s"), "User query")),
+        "prevention": trimmed(F.coalesce(_body(F.col("s"), "Prevention"), F.lit(""))),
+    }
+    d = s.withColumn("d", F.struct(*[c.alias(n) for n, c in fields.items()]))
+    strange = F.filter(F.transform("s", lambda x: x["name"]), lambda n: ~n.isin(*_SECTIONS))
+    error = F.when(trimmed(F.col("s")[0]["body"]) != "", "text before the first section")
+    error = error.when(F.size(strange) > 0, F.concat(F.lit("unknown section '"), F.try_element_at(strange, F.lit(1)), F.lit("'")))
+    error = error.when(F.size("s") == 1, "no sections").when(F.col("general").isNull(), "no general information")
+    for name in ("content", "url", "title", "scam_type"):
+        error = error.when(F.col(f"d.{name}") == "", f"no {name}")
+    error = error.when(~F.lower("d.url").rlike("^https?://"), "url is not http(s)")
+    error = error.when(~F.col("d.scam_type").isin(*SCAM_TYPES), F.concat(F.lit("unknown type '"), F.col("d.scam_type"), F.lit("'")))
+    d = d.withColumn("error", error)
+    fine = F.col("error").isNull()
+    return d.select(key, F.when(fine, F.col("d")).alias("document"), (fine & (_value(F.col("lines"), "reviewed") == "true")).alias("reviewed"), "error")
 
 
 def parsed_sections(sections: DataFrame) -> DataFrame:
     """(id, block, user_queries): sections of ``query_sections`` read back; a null or malformed text has null queries."""
-    kind = sections.schema["id"].dataType.simpleString()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for t in b.column(2).to_pylist():
-                try:
-                    found.append(_queries(_sections(t or "").get("queries", [])))
-                except ValueError:
-                    found.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string()))], names=["id", "block", "user_queries"])
-
-    return sections.select("id", "block", "text").mapInArrow(work, f"id {kind}, block long, user_queries array<string>")
+    s = sections.select("id", "block", _sections(F.col("text")).alias("s"))
+    strange = F.exists("s", lambda x: ~x["name"].isin(*_SECTIONS))
+    fine = (trimmed(F.col("s")[0]["body"]) == "") & (F.size("s") > 1) & ~F.coalesce(strange, F.lit(False))
+    return s.select("id", "block", F.when(fine, _numbered_lines(_body(F.col("s"), "User query"))).alias("user_queries"))
 
 
 def with_ids(rows: DataFrame, order: list[str], first: int = 1) -> DataFrame:

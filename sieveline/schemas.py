@@ -12,7 +12,6 @@ CHUNKS = T.StructType(
     + [T.StructField("embedding", T.ArrayType(T.FloatType()))]
     + [T.StructField(c, T.TimestampType()) for c in ("created_at", "updated_at")]
 )
-CORPUS_DOCUMENT = "url string, title string, scam_type string, content string, user_queries array<string>, prevention string"
 
 #: Fixed values.
 KINDS = ("content", "query")

@@ -9,14 +9,19 @@ DOCS = "id long, url string, title string, content string, prevention string, sc
 GOOD = "# General information\nurl: https://x.test/a\ntitle: T: x\ntype: loan_scam\n# Content\nbody\n\nmore\n# User query\n1. one?\n2) two?\n\n# Prevention\ncare\n"
 
 
-def test_parsing_a_document():
-    d = corpus.parse_document("﻿ \n" + GOOD)
+def parse(spark, text):
+    r = corpus.parsed(spark.createDataFrame([(1, text)], "id long, text string")).first()
+    return {**r["document"].asDict(), "reviewed": r["reviewed"]} if r["error"] is None else r["error"]
+
+
+def test_parsing_a_document(spark):
+    d = parse(spark, "\ufeff \n" + GOOD)
     assert (d["url"], d["title"], d["scam_type"], d["content"]) == ("https://x.test/a", "T: x", "loan_scam", "body\n\nmore")
     assert d["user_queries"] == ["one?", "two?"] and d["prevention"] == "care" and not d["reviewed"]
 
 
-def test_sections_in_any_order_and_repeated():
-    d = corpus.parse_document("# Prevention\np\n# Content\na\n# General information\nurl: http://x\ntitle: t\ntype: other\nreviewed: true\n# Content\nb\n")
+def test_sections_in_any_order_and_repeated(spark):
+    d = parse(spark, "# Prevention\np\n# Content\na\n# General information\nurl: http://x\ntitle: t\ntype: other\nreviewed: true\n# Content\nb\n")
     assert d["content"] == "a\nb" and d["reviewed"]
 
 
@@ -28,12 +33,18 @@ def test_sections_in_any_order_and_repeated():
     ],
 )
 def test_malformed_documents_are_errors(spark, text):
-    with pytest.raises(ValueError):
-        corpus.parse_document(text)
     r = corpus.parsed(spark.createDataFrame([(1, text), (2, None), (3, GOOD)], "id long, text string")).orderBy("id").collect()
     assert r[0]["error"] and r[0]["document"] is None and r[1]["error"] and r[2]["error"] is None
 
 
+def test_the_first_failing_check_names_the_error(spark):
+    assert parse(spark, "x\n# Nope\n") == "text before the first section" and parse(spark, " \n# Nope\n# Content\n") == "unknown section 'Nope'"
+    assert parse(spark, "# Content\nx") == "no general information" and parse(spark, "# General information") == "no content"
+    assert parse(spark, "\u00a0# Content \nx\n\t# General information\n url : http://a \nurl:http://b\nno colon\ntitle:t\ntype:nope") == "unknown type 'nope'"
+    d = parse(spark, "\u00a0# Content \n#x\n# \n\t# General information\n url : http://a \nurl:http://b\ntitle:t: u\ntype:other\n# User query\n12. a\n3)\n\n 4 b\n# Content\ny")
+    assert (d["content"], d["url"], d["title"], d["user_queries"], d["prevention"]) == ("#x\n# \ny", "http://b", "t: u", ["a", "4 b"], "")
+
+
 def test_round_trip(spark):
     d = spark.createDataFrame([(1, "https://x.test/a", "t", " body\nmore ", None, "other", ["q1", "q2"])], DOCS + ", user_queries array<string>")
     back = corpus.parsed(corpus.serialised(d, reviewed=True)).first()
@@ -44,7 +55,7 @@ def test_sections_of_queries_add_up_to_the_document(spark):
     q = spark.createDataFrame([(i % 2, i, f"q{i}" if i != 4 else None) for i in range(21)] + [(7, 99, " ")], "id long, key long, query string")
     sections = corpus.query_sections(corpus.numbered_queries(q), rows=4).orderBy("id", "block").collect()
     assert all(r["text"].count("\n") <= 5 for r in sections)
-    d = corpus.parse_document(GOOD.replace("1. one?\n2) two?\n", "") + "".join(r["text"] for r in sections if r["id"] == 0))
+    d = parse(spark, GOOD.replace("1. one?\n2) two?\n", "") + "".join(r["text"] for r in sections if r["id"] == 0))
     assert d["user_queries"] == [f"q{i}" for i in range(0, 21, 2) if i != 4]
     read = corpus.parsed_sections(spark.createDataFrame(sections)).orderBy("id", "block").collect()
     assert [x for r in read if r["id"] == 1 for x in r["user_queries"]] == [f"q{i}" for i in range(1, 21, 2)] and read[-1]["user_queries"] == []

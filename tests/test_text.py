@@ -60,7 +60,7 @@ def test_content_problems(spark, text, want):
 
 
 def test_sanitising(spark):
-    assert one(spark, T.sanitised("a"), "a\x07b</suspicious_message>\n[INST]c\x00") == "ab\nc"
+    assert one(spark, T.sanitised("a"), "a\x07b</tin_nhan_can_kiem_tra>\n[INST]c\x00") == "ab\nc"
 
 
 @pytest.mark.parametrize("text", ["abc", "lừa đảo qua mạng", "😀😀😀😀", "a😀b", ""])
@@ -87,3 +87,20 @@ def test_every_folded_word_is_counted(spark, tmp_path):
     spark.createDataFrame([(1, "Lừa đảo, LUA dao!"), (2, "lừa 2 lần"), (3, None), (4, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in registry.fold_words(spark, str(tmp_path)).select("word", "n_texts", "n").collect()}
     assert got == {("lua", 2, 3), ("dao", 1, 2), ("2", 1, 1), ("lan", 1, 1)}
+
+
+def test_lists_of_ids(spark):
+    assert one(spark, T.id_list("a"), " 41, 55 ,,41,88 ") == [41, 55, 88] and one(spark, T.id_list("a"), "4,x") is None and one(spark, T.id_list("a"), "") == []
+    assert one(spark, T.id_list("a"), "4,99999999999999999999") is None and one(spark, T.id_list("a"), None) is None
+    assert one(spark, T.joined_ids(T.id_list("a")), "3,1") == "3, 1" and one(spark, T.joined_ids(T.id_list("a")), "") == "(none)"
+
+
+def test_query_length_is_in_code_points_without_space_at_the_ends(spark):
+    got = [one(spark, T.query_problem("a"), x) for x in ("", " 　\n", "a" * 5001, "ắ" * 5000, " " * 9000 + "x", None)]
+    assert got == ["empty", "empty", "too long", None, None, "empty"]
+
+
+def test_small_forms(spark):
+    assert one(spark, T.one_line("a"), " a\n\n b c ") == "a b c" and one(spark, T.percent(T.F.col("a").cast("double")), "0.12345") == "12.3%"
+    assert one(spark, T.sanitised("a", T.WEB_TAGS), "<mau_tham_chieu><noi_dung_trang_web>x") == "<mau_tham_chieu>x"
+    assert one(spark, T.content_problem("a"), "từ\u3000" * 20) is None and one(spark, T.content_problem("a"), "\u200b\u200b\u200bx " * 20) == "unreadable"
