@@ -50,7 +50,7 @@ def similar_pairs(rows: DataFrame, by: list[str], *, least: float, strict: bool
 
 
 def duplicate_audit(chunks: DataFrame, documents: DataFrame, *, least: float = 0.95, scam_type: str = "", preview_len: int = 80) -> DataFrame:
-    """Pairs of chunks of one kind and type but of different documents that are alike, with previews, in audit order."""
+    """Pairs of chunks of one kind and type but of different documents that are alike, with previews; ``in_audit_order`` orders them."""
     d = documents.dropDuplicates(["id"]).select(F.col("id").alias("document_id"), "url", "scam_type")
     c = chunks.dropDuplicates(["id"]).join(d, "document_id")
     if scam_type:
@@ -64,6 +64,11 @@ def duplicate_audit(chunks: DataFrame, documents: DataFrame, *, least: float = 0
     )
 
 
+def in_audit_order(pairs: DataFrame) -> DataFrame:
+    """By type, then the most alike first, then the ids."""
+    return pairs.orderBy("scam_type", F.desc("similarity"), "a_id", "b_id")
+
+
 def audit_summary(pairs: DataFrame) -> DataFrame:
     """(scam_type, n_pairs, n_chunks): pairs and different chunks involved by type."""
     n = pairs.groupBy("scam_type").agg(F.count("*").alias("n_pairs"))
@@ -77,11 +82,16 @@ def greedy_kept(chunks: DataFrame, *, most: float = 0.95) -> DataFrame:
     Content chunks and chunks without a usable vector are kept. Order is by id. The greedy
     rule looks at kept chunks only, so it is solved in rounds over the links of similar
     pairs: a chunk all of whose earlier partners are dropped is kept, one with a kept earlier
-    partner is dropped, until all are decided. No document's chunks need be in one place.
+    partner is dropped, until all are decided. Copies of a vector are not linked with each
+    other. No document's chunks need be in one place.
     """
     rows = chunks.dropDuplicates(["id"])
-    queries = rows.filter("kind = 'query'")
-    links = cut(similar_pairs(queries.select("id", "embedding", "document_id"), ["document_id"], least=most, strict=True).select("a", "b"))
+    queries = rows.filter("kind = 'query'").select("id", "embedding", "document_id")
+    # equal vectors of a document are one class: a copy is dropped whether its first is kept or was too similar to another
+    firsts = cut(queries.filter(usable("embedding")).groupBy("document_id", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    copied = firsts.filter(F.lit(most < 1.0) & (F.col("n") > 1) & F.col("document_id").isNotNull()).select("document_id", "embedding", F.col("id").alias("first"))
+    copies = queries.join(copied, ["document_id", "embedding"]).filter("id <> first").select("id", F.lit(False).alias("kept"))
+    links = cut(similar_pairs(firsts.select("id", "embedding", "document_id"), ["document_id"], least=most, strict=True).select("a", "b"))
     nodes = links.select(F.col("b").alias("id")).unionByName(links.select(F.col("a").alias("id"))).distinct()
     state = cut(nodes.withColumn("s", F.lit(0)))  # 0 open, 1 kept, 2 dropped
     while state.filter("s = 0").limit(1).count():
@@ -90,5 +100,5 @@ def greedy_kept(chunks: DataFrame, *, most: float = 0.95) -> DataFrame:
         )
         nxt = state.join(earlier.withColumnRenamed("b", "id"), "id", "left").na.fill(0, ["hit", "open"])
         state = cut(nxt.select("id", F.when(F.col("s") != 0, F.col("s")).when(F.col("hit") == 1, 2).when(F.col("open") == 0, 1).otherwise(0).alias("s")))
-    dropped = state.filter("s = 2").select("id", F.lit(False).alias("kept"))
+    dropped = state.filter("s = 2").select("id", F.lit(False).alias("kept")).unionByName(copies)
     return rows.select("id", "document_id").join(dropped, "id", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))

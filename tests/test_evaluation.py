@@ -50,7 +50,37 @@ def test_specs_spread_the_remainder_and_turn_styles(spark):
     s = E.specs(spark.createDataFrame([(t,) for t in SCAM_TYPES], "stratum string"), 120, STYLES).collect()
     n = {t: sum(r["stratum"] == t for r in s) for t in SCAM_TYPES}
     assert len(s) == 120 and [n[t] for t in sorted(n)] == [10] * 3 + [9] * 10
-    assert [r["style"] for r in s] == [STYLES[i % 4] for i in range(120)]
+    assert [r["style"] for r in sorted(s, key=lambda r: (r["stratum"], r["i"]))] == [STYLES[i % 4] for i in range(120)]
+    more = E.specs(spark.createDataFrame([("x",), ("x",), (None,)], "stratum string"), 3, STYLES, benign=("b", "a"), each_benign=2).collect()
+    assert sorted((r["case_id"], r["style"]) for r in more) == sorted(zip(("scam-x-01", "scam-x-02", "scam-x-03", "benign-b-01", "benign-b-02", "benign-a-01", "benign-a-02"), (STYLES * 2)[:7]))
+    assert E.specs(spark.createDataFrame([], "stratum string"), 3, STYLES).count() == 0
+
+
+def test_slots_are_decoded_in_both_orders(spark):
+    calls = [("a", 1, "A", 8.0, 5.0), ("a", 2, "B", 1.0, 1.0), ("b", 1, "A", 6.0, 6.0), ("b", 2, "A", 1.0, 1.0), ("c", 1, "x", 2.0, 4.0), ("c", 2, None, 0.0, 0.0), ("d", 1, "A", 9.0, 9.0)]
+    r = E.resolved(spark.createDataFrame(calls, "case_id string, order int, preferred string, score_a double, score_b double"), "rag", "web")
+    assert {x["case_id"]: (x["preferred"], x["order_consistent"], x["first_score"]) for x in r.collect()} == {"a": ("rag", True, 8.0), "b": ("tie", False, 6.0), "c": ("tie", True, 2.0)}
+    cross = spark.createDataFrame([("a", "rag"), ("b", "web"), ("z", "rag")], "case_id string, preferred string")
+    s = E.judge_summary(r, cross, "rag", "web").first()
+    assert (s["n_judged"], s["first_wins"], s["second_wins"], s["ties"], s["n_crossed"]) == (3, 1, 0, 2, 3)
+    assert s["first_mean"] == pytest.approx(16 / 3) and s["order_consistent_rate"] == pytest.approx(2 / 3) and s["cross_agreement_rate"] == pytest.approx(1 / 3)
+    none = E.judge_summary(r.limit(0), cross.limit(0), "rag", "web").first()
+    assert (none["n_judged"], none["first_mean"], none["cross_agreement_rate"]) == (0, 0.0, 0.0)
+
+
+def test_judge_input_needs_both_arms(spark):
+    c = spark.createDataFrame([("a", "m", ["f1", "f2"]), ("b", "m", None)], "case_id string, item_text string, key_facts array<string>")
+    x, y = (spark.createDataFrame([(k, "t") for k in ks], "case_id string, answer string") for ks in ("ab", "bc"))
+    assert [tuple(r) for r in E.judge_input(c, x, y).collect()] == [("b", "m", "(không có)", "t", "t")]
+    assert E.judge_input(c, x, x).filter("case_id = 'a'").first()["facts"] == "- f1\n- f2\n"
+    a = spark.createDataFrame([("", "red", ["f"], []), ("raw", "red", [], []), (None, None, None, None)], "raw string, verdict string, flags array<string>, acts array<string>")
+    got = [r[0] for r in a.select(E.answer_text("raw", "verdict", Cờ="flags", Việc="acts")).collect()]
+    assert got == ["Mức độ rủi ro: red\nCờ:\n- f\n", "raw", "Mức độ rủi ro: \n"]
+
+
+def test_summary_rows_have_twelve_text_columns(spark):
+    c = spark.createDataFrame([("a", None, "mixed", "red", "red", None, "rag", True, 7.0, None)], "case_id string, scam_type string, style string, expected string, got_first string, got_second string, preferred string, order_consistent boolean, first_score double, second_score double")
+    assert tuple(E.summary_rows(c).first()) == ("a", "", "mixed", "red", "red", "", "true", "false", "7.00", "", "rag", "true")
 
 
 def test_citations(spark):
