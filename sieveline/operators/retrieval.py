@@ -12,18 +12,27 @@ from pyspark.sql import functions as F
 from sieveline.functions.text import tokens
 from sieveline.functions.vector import score, usable
 from sieveline.schemas import EMBEDDING_WIDTH
+from sieveline.session import stage
 
 CANDIDATES, RRF_K, TOP_K, RERANK_POOL = 80, 60, 5, 20
-#: Queries are scored in blocks of this many, so that what is sent to the workers is bounded.
-QUERY_BLOCK = 4096
+#: Queries are scored in blocks of this many, so that what is sent to the workers is bounded (8 MB at width 64).
+QUERY_BLOCK = 16_384
+_STEP = 1024  # rows and queries of one product of matrices
 
 
-def _best(q: np.ndarray, i: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _nearest(parts: list[tuple[np.ndarray, ...]], k: int, worst: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ``k`` nearest different chunks of each query among (query, chunk, distance, document); ``worst`` gets the last one's distance."""
+    q, i, d, doc = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((i, d, q))
-    q, i, d = q[order], i[order], d[order]
+    q, i, d, doc = q[order], i[order], d[order], doc[order]
+    once = np.ones(len(q), bool)
+    once[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])  # a chunk repeated whole has the same distance again
+    q, i, d, doc = q[once], i[once], d[once], doc[once]
     first = np.flatnonzero(np.diff(q, prepend=-1))
     rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-    return q[rank < k], i[rank < k], d[rank < k]
+    last = rank == k - 1
+    worst[q[last]] = d[last]
+    return q[rank < k], i[rank < k], d[rank < k], doc[rank < k]
 
 
 def vector_arm(queries: DataFrame, chunks: DataFrame, *, k: int = CANDIDATES, width: int = EMBEDDING_WIDTH, digits: int = 6) -> DataFrame:
@@ -31,11 +40,11 @@ def vector_arm(queries: DataFrame, chunks: DataFrame, *, k: int = CANDIDATES, wi
 
     ``queries`` (query_id, embedding) is a stated set, scored block by block against
     all chunks: a block goes to the workers, every partition keeps its ``k`` best for
-    each query, and the parts are merged by a ranked window. Distances are rounded to
-    ``digits`` and ties go to the smaller id. Vectors that cannot be compared, and rows
-    repeated whole, do not count.
+    each query, and the parts are merged by a ranked window; the chunks themselves are
+    never shuffled. Distances are rounded to ``digits`` and ties go to the smaller id.
+    Vectors that cannot be compared, and rows repeated whole, do not count.
     """
-    rows = chunks.filter(usable("embedding", width)).select("id", "document_id", "embedding").dropDuplicates(["id"])
+    rows = chunks.filter(usable("embedding", width)).select("id", "document_id", "embedding")
     asked = queries.filter(usable("embedding", width)).select("query_id", "embedding").dropDuplicates(["query_id"])
     n = asked.count()
     blocks = -(-n // QUERY_BLOCK)
@@ -43,7 +52,7 @@ def vector_arm(queries: DataFrame, chunks: DataFrame, *, k: int = CANDIDATES, wi
     parts = []
     for b in range(blocks):
         some = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = some.orderBy("query_id").collect()
+        got = sorted(some.collect(), key=lambda r: str(r["query_id"]))
         if not got:
             continue
         m = np.array([r["embedding"] for r in got], np.float64)
@@ -51,25 +60,29 @@ def vector_arm(queries: DataFrame, chunks: DataFrame, *, k: int = CANDIDATES, wi
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, m = shared.value
+            worst = np.full(m.shape[1], np.inf)
             kept: list[tuple[np.ndarray, ...]] = []
+            held = 0
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    p = batch.slice(at, 1024)
-                    x = p.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-                    d = np.round(1 - (x / np.sqrt((x * x).sum(1, keepdims=True))) @ m, digits) + 0.0
-                    ids = p.column(0).to_numpy()
-                    doc = p.column(1).to_numpy(zero_copy_only=False)
-                    near = np.argpartition(d, k - 1, axis=0)[:k] if len(d) > k else np.broadcast_to(np.arange(len(d))[:, None], d.shape)
-                    if len(d) > k:  # ties at the edge are all kept until they are ordered by id
-                        edge = np.take_along_axis(d, near, 0).max(0)
-                        r, q = np.nonzero(d <= edge)
-                    else:
-                        r, q = near.ravel(), np.broadcast_to(np.arange(d.shape[1]), d.shape).ravel()
-                    kept.append((q, ids[r], d[r, q], doc[r]))
-                    if len(kept) >= 8:
-                        kept = [_merge(kept, k)]
+                for at in range(0, batch.num_rows, _STEP):
+                    p = batch.slice(at, _STEP)
+                    ids, one = np.unique(p.column(0).to_numpy(), return_index=True)
+                    x = p.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)[one]
+                    x /= np.sqrt((x * x).sum(1, keepdims=True))
+                    doc = p.column(1).to_numpy(zero_copy_only=False)[one]
+                    for s in range(0, m.shape[1], _STEP):
+                        d = np.round(1 - x @ m[:, s : s + _STEP], digits) + 0.0
+                        bound = worst[s : s + _STEP]
+                        if len(d) > k and not np.isfinite(bound).all():
+                            np.minimum(bound, np.partition(d, k - 1, axis=0)[k - 1], out=bound)
+                        r, q = np.nonzero(d <= bound)
+                        kept.append((q + s, ids[r], d[r, q], doc[r]))
+                        held += len(r)
+                    if held > 2_000_000:
+                        kept = [_nearest(kept, k, worst)]
+                        held = len(kept[0][0])
             if kept:
-                q, i, d, doc = _merge(kept, k)
+                q, i, d, doc = _nearest(kept, k, worst)
                 yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in q], pa.string()), pa.array(i), pa.array(doc), pa.array(d)], names=["query_id", "chunk_id", "document_id", "distance"])
 
         parts.append(rows.mapInArrow(work, schema))
@@ -79,35 +92,34 @@ def vector_arm(queries: DataFrame, chunks: DataFrame, *, k: int = CANDIDATES, wi
     for p in parts[1:]:
         found = found.unionByName(p)
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _merge(kept: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
-    q, i, d, doc = (np.concatenate(x) for x in zip(*kept))
-    order = np.lexsort((i, d, q))
-    q, i, d, doc = q[order], i[order], d[order], doc[order]
-    first = np.flatnonzero(np.diff(q, prepend=-1))
-    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-    return q[rank < k], i[rank < k], d[rank < k], doc[rank < k]
+    return found.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def keyword_arm(queries: DataFrame, chunks: DataFrame, *, k: int = CANDIDATES) -> DataFrame:
     """(query_id, chunk_id, document_id, hits, rank): chunks that hold every word of a query, best first.
 
-    ``queries`` is (query_id, text). Words are folded; the score is how often the query's
-    distinct words occur in the chunk; ties go to the smaller id; a query without words
-    matches nothing. Works on an inverted index: chunk words that some query asks for are
-    counted, joined by word and regrouped, so no pair without a common word is looked at.
+    ``queries`` is (query_id, text), whole texts of any length. Words are folded; the score
+    is how often the query's distinct words occur in the chunk; ties go to the smaller id; a
+    query without words matches nothing. Queries of the same words are one class. A class is
+    joined with the chunks that hold its rarest word only, and those are checked for all
+    its words, so common words never bring chunks and queries together. Rows repeated
+    whole count once.
     """
-    asked = queries.dropDuplicates(["query_id"]).select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("word"))
-    need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-    rows = chunks.filter(F.col("content").isNotNull()).dropDuplicates(["id"])
-    words = rows.select(F.col("id").alias("chunk_id"), "document_id", F.explode(tokens("content")).alias("word"))
-    index = words.join(asked.select("word").distinct(), "word", "left_semi").groupBy("chunk_id", "document_id", "word").agg(F.count("*").alias("tf"))
-    found = index.join(asked, "word").groupBy("query_id", "chunk_id", "document_id").agg(F.count("*").alias("have"), F.sum("tf").alias("hits"))
-    full = found.join(need, "query_id").filter(F.col("have") == F.col("need"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "chunk_id")
-    return full.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "document_id", "hits", "rank")
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.array_sort(F.array_distinct(tokens("text"))).alias("words")).filter(F.size("words") > 0)
+    asked = stage(asked.distinct().withColumn("class", F.xxhash64("words")))
+    classes = asked.dropDuplicates(["class", "words"]).select("class", "words")
+    vocabulary = classes.select(F.explode("words").alias("word")).distinct()
+    rows = chunks.filter(F.col("content").isNotNull()).select(F.col("id").alias("chunk_id"), "document_id", tokens("content").alias("tokens"))
+    index = stage(rows.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("word")).join(vocabulary, "word", "left_semi").distinct())
+    frequency = index.groupBy("word").agg(F.count("*").alias("n"))
+    known = classes.select("class", F.size("words").alias("need"), F.explode("words").alias("word")).join(frequency, "word")
+    rarest = known.groupBy("class").agg(F.first("need").alias("need"), F.count("*").alias("have"), F.min_by("word", F.struct("n", "word")).alias("word"))
+    meet = index.join(rarest.filter("have = need").select("class", "word"), "word").select("class", "chunk_id")
+    both = meet.join(classes, "class").join(rows, "chunk_id").filter(F.size(F.array_except("words", "tokens")) == 0)
+    hits = F.size(F.filter("tokens", lambda t: F.array_contains(F.col("words"), t))).cast("long")
+    full = both.select("class", "words", "chunk_id", "document_id", hits.alias("hits")).distinct()
+    best = full.withColumn("rank", F.row_number().over(Window.partitionBy("class", "words").orderBy(F.desc("hits"), "chunk_id"))).filter(F.col("rank") <= k)
+    return best.join(asked, ["class", "words"]).select("query_id", "chunk_id", "document_id", "hits", "rank")
 
 
 def collapse(matches: DataFrame) -> DataFrame:
