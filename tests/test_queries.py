@@ -31,3 +31,7 @@ def test_same_rows_as_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_every_query_but_the_fold_has_sql():
+    assert set(registry.queries()) - set(oracle.oracle_sql()) == {"near_dup_fold"}
