@@ -1,24 +1,28 @@
 """The k most similar vectors of every vector, by an inverted multi-index.
 
-Both halves of the unit vectors are quantised separately by k-means codebooks, so K
-centroids a half give K * K cells. A query's cells are taken in the order of the summed
-distances of their two centroids, and the vectors filed under the first ``probes`` cells
-are compared exactly.
-
-The usual heap visits pairs (i, j) of the sorted half distances; the first T pairs it
-yields all satisfy (i + 1) * (j + 1) <= T, as every pair not above and left of another
-comes after it. ``nearest_cells`` therefore sums just those pairs for a whole batch of
-queries and takes the T least, which gives the heap's cells without a loop per query;
-``heap_cells`` is the heap itself, for tests.
+Both halves of the unit vectors, turned so that both hold alike much of the variance, are
+quantised separately by k-means codebooks, so K centroids a half give K * K cells. A
+query visits cells in the order of the summed distances of their two centroids, by the
+multi-sequence heap over its sorted half distances, until the cells it has visited hold
+``quota`` entries (or ``share`` of all, if that is more); how many entries each cell holds
+is known to all tasks. All entries of the visited cells are compared exactly. The heaps of
+a batch of queries lie in arrays and step together.
 
 On the cluster: first-half centroids that lie close together form a region. Vectors are
-filed under the region of their cell, queries are sent to the regions of their cells,
-and a region with many vectors or queries is split into a grid of blocks. A task thus
-holds about ``block_rows`` vectors and ``query_rows`` queries. Equal vectors are one entry
-with its least keys, so copies cost nothing in the search.
-
-Fitted on a bounded sample: the codebooks, on about ``sample_rows`` vectors with the
-least hash. Everything else covers all rows. Nulls and edge cases: vectors that are null, of
+filed under the region of their cell, queries are sent to the regions of their cells with
+the list of cells to look at there, and a region with many vectors or queries is split
+into a grid of blocks. A task thus holds about ``block_rows`` vectors and ``query_rows``
+queries, and regions grow in number, not in size. Equal vectors are one entry with its
+least keys, so copies cost nothing in the search.
+
+Fitted on a bounded sample: rotation and codebooks, on about ``sample_rows`` vectors with
+the least hash, which also tells how many queries a region is to expect. Everything else
+covers all rows. The defaults compare a query with a tenth of all vectors at least: where
+the vectors fill some fifty dimensions evenly, as in the test tables, true neighbours are
+that far from each other, and a fixed quota would lose more of them the more vectors
+there are. Where only close neighbours count (``min_cosine``), a small quota is enough.
+
+Nulls and edge cases: vectors that are null, of
 another width, all zero, or have a null or non-finite element take no part; equal
 cosines go to the smaller key; a vector with fewer than k others has as many
 neighbours as there are; rows repeated whole count once; empty tables give no rows.
@@ -26,7 +30,6 @@ neighbours as there are; rows repeated whole count once; empty tables give no ro
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,6 @@ from pyspark.sql import functions as F
 from sieveline.llm._batches import hashed_sample, pieces
 from sieveline.session import stage
 
-
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
     """Centroids of a sample that is in memory; an empty cluster keeps its centroid."""
     rng = np.random.default_rng(seed)
@@ -56,35 +58,100 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (c * c).sum(1) - 2 * (x @ c.T)
 
 
-def pairs_within(t: int, k1: int, k2: int) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j) with (i + 1) * (j + 1) <= t."""
-    i = [np.full(min(k2, t // (a + 1)), a) for a in range(min(k1, t))]
-    return np.concatenate(i), np.concatenate([np.arange(len(x)) for x in i])
-
-
-def nearest_cells(d1: np.ndarray, d2: np.ndarray, t: int) -> np.ndarray:
-    """The t cells with the least summed distances, for each query (row)."""
-    k2 = d2.shape[1]
-    t = min(t, d1.shape[1] * k2)
-    i, j = pairs_within(t, d1.shape[1], k2)
-    o1, o2 = np.argsort(d1, axis=1), np.argsort(d2, axis=1)
-    s = np.take_along_axis(d1, o1, 1)[:, i] + np.take_along_axis(d2, o2, 1)[:, j]
-    best = np.argpartition(s, t - 1, axis=1)[:, :t] if s.shape[1] > t else np.broadcast_to(np.arange(t), (len(s), t))
-    return (o1[:, i] * k2 + o2[:, j])[np.arange(len(s))[:, None], best]
+class CellHeaps:
+    """The multi-sequence heaps of a batch of queries, one row a query; all queries step together.
 
+    Entries are pairs (i, j) of places in the sorted half distances. A pair (i, j) brings (i, j + 1) when it is
+    taken, and (i + 1, 0) as well where j is 0, so that every pair comes in once.
+    """
 
-def heap_cells(d1: np.ndarray, d2: np.ndarray, t: int) -> list[int]:
-    """The same for one query, by the multi-sequence heap."""
-    o1, o2 = np.argsort(d1), np.argsort(d2)
-    heap, seen, out = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, []
-    while heap and len(out) < t:
-        _, i, j = heapq.heappop(heap)
-        out.append(int(o1[i]) * len(d2) + int(o2[j]))
-        for a, b in ((i + 1, j), (i, j + 1)):
-            if a < len(d1) and b < len(d2) and (a, b) not in seen:
-                seen.add((a, b))
-                heapq.heappush(heap, (d1[o1[a]] + d2[o2[b]], a, b))
-    return out
+    def __init__(self, d1: np.ndarray, d2: np.ndarray):
+        self.o1, self.o2 = (np.argsort(d, axis=1, kind="stable").astype(np.int32) for d in (d1, d2))
+        self.s1, self.s2 = np.take_along_axis(d1, self.o1, 1), np.take_along_axis(d2, self.o2, 1)
+        n, room = len(d1), 7
+        self.key, self.i, self.j = np.full((n, room), np.inf, np.float32), np.zeros((n, room), np.int32), np.zeros((n, room), np.int32)
+        self.size = np.ones(n, np.int64)
+        self.key[:, 0] = self.s1[:, 0] + self.s2[:, 0]
+
+    def keep(self, rows: np.ndarray) -> None:
+        """Goes on with some of the queries."""
+        for name in ("o1", "o2", "s1", "s2", "key", "i", "j", "size"):
+            setattr(self, name, getattr(self, name)[rows])
+
+    def _swap(self, r: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        for x in (self.key, self.i, self.j):
+            x[r, a], x[r, b] = x[r, b], x[r, a]
+
+    def _push(self, r: np.ndarray, i: np.ndarray) -> None:
+        """Brings the pair (i, 0) to the heaps ``r``."""
+        if not len(r):
+            return
+        at = self.size[r]
+        if at.max() >= self.key.shape[1]:
+            more = ((0, 0), (0, self.key.shape[1] + 1))
+            self.key, self.i, self.j = np.pad(self.key, more, constant_values=np.inf), np.pad(self.i, more), np.pad(self.j, more)
+        self.key[r, at], self.i[r, at], self.j[r, at] = self.s1[r, i] + self.s2[r, 0], i, 0
+        self.size[r] += 1
+        while len(r):
+            up = (at - 1) >> 1
+            rises = at > 0
+            rises[rises] = self.key[r[rises], at[rises]] < self.key[r[rises], up[rises]]
+            r, at, up = r[rises], at[rises], up[rises]
+            self._swap(r, at, up)
+            at = up
+
+    def _sink(self) -> None:
+        """Lets the roots sink to their places."""
+        r, at = np.arange(len(self.key)), np.zeros(len(self.key), np.int64)
+        room = self.key.shape[1]
+        while len(r):
+            inside = 2 * at + 1 < room
+            r, at = r[inside], at[inside]
+            left, right = 2 * at + 1, np.minimum(2 * at + 2, room - 1)
+            a, b = self.key[r, left], self.key[r, right]
+            child = np.where(b < a, right, left)
+            sinks = np.minimum(a, b) < self.key[r, at]
+            r, at, child = r[sinks], at[sinks], child[sinks]
+            self._swap(r, at, child)
+            at = child
+
+    def take(self) -> np.ndarray:
+        """Each query's next cell, i * K + j in terms of centroids; -1 where there is none."""
+        r = np.arange(len(self.key))
+        i, j = self.i[:, 0].copy(), self.j[:, 0].copy()
+        some = self.size > 0
+        cell = np.where(some, self.o1[r, i].astype(np.int64) * self.o2.shape[1] + self.o2[r, j], -1)
+        goes = some & (j + 1 < self.o2.shape[1])
+        g = r[goes]
+        self.j[g, 0] += 1
+        self.key[g, 0] = self.s1[g, i[goes]] + self.s2[g, j[goes] + 1]
+        ends = r[some & ~goes]  # the last entry comes to the root where a row has ended
+        last = self.size[ends] - 1
+        for x in (self.key, self.i, self.j):
+            x[ends, 0] = x[ends, last]
+        self.key[ends, last] = np.inf
+        self.size[ends] = last
+        self._sink()
+        new = some & (j == 0) & (i + 1 < self.o1.shape[1])
+        self._push(r[new], i[new] + 1)
+        return cell
+
+
+def visited(d1: np.ndarray, d2: np.ndarray, entries: np.ndarray, quota: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, cell) in the order of the heaps until a query's cells hold ``quota`` of the ``entries``; cells without any are left out."""
+    heaps, who, got = CellHeaps(d1, d2), np.arange(len(d1)), np.zeros(len(d1), np.int64)
+    queries, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(who):
+        cell = heaps.take()
+        n = np.where((cell >= 0) & (got < quota), entries[np.maximum(cell, 0)], 0)
+        queries.append(who[n > 0])
+        cells.append(cell[n > 0])
+        got += n
+        on = (got < quota) & (cell >= 0)
+        if on.sum() < 0.8 * len(on):  # those that are done are taken out now and then
+            heaps.keep(on)
+            who, got = who[on], got[on]
+    return np.concatenate(queries), np.concatenate(cells)
 
 
 def _vectors(col: pa.Array, width: int) -> np.ndarray:
@@ -92,6 +159,14 @@ def _vectors(col: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, width)
 
 
+def balanced_rotation(sample: np.ndarray) -> np.ndarray:
+    """Axes along the directions of most variance, dealt so that both halves hold alike much of it."""
+    _, axes = np.linalg.eigh(np.cov(sample.astype(np.float64).T) if len(sample) > 1 else np.eye(sample.shape[1]))
+    place = np.arange(axes.shape[1])[::-1]
+    turn = np.argsort(np.isin(np.arange(len(place)) % 4, (1, 2)), kind="stable")  # 1st, 4th, 5th, 8th ... to the first half
+    return np.ascontiguousarray(axes[:, place[turn]], np.float32)
+
+
 def usable(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     """(id, v): the records whose vector can be compared."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -100,15 +175,15 @@ def usable(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
 
 
 def neighbours(
-    df: DataFrame, *, key: str = "id", vector: str = "embedding", width: int = 64, k: int = 5, queries=None, probes: int | None = 32,
-    probe_share: float | None = None, min_cosine: float | None = None, cell_rows: int = 64, max_centroids: int = 256,
-    sample_rows: int = 20_000, block_rows: int = 60_000, query_rows: int = 200_000, min_regions: int = 4,
+    df: DataFrame, *, key: str = "id", vector: str = "embedding", width: int = 64, k: int = 5, queries=None, quota: int = 2048, share: float = 0.1,
+    min_cosine: float | None = None, cell_rows: int = 16, max_centroids: int = 1024, sample_rows: int = 20_000, block_rows: int = 16_000, query_rows: int = 32_000,
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): for every query the ``k`` most similar other vectors found.
 
-    ``queries`` is a predicate over the column ``id``, all rows by default. Visited are
-    ``probes`` cells, or with ``probe_share`` that share of all cells. ``min_cosine``
-    leaves out less similar neighbours.
+    ``queries`` is a predicate over the column ``id``, all rows by default. A query is compared with the entries of
+    the nearest cells that hold ``quota`` of them or ``share`` of all, whichever is more. ``min_cosine`` leaves
+    out less similar neighbours. More than ``max_centroids`` a half are not fitted; cells then hold more entries, and
+    no result changes by that but for the order in which they are visited.
     """
     rows = usable(df, key, vector, width)
     hashes = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.col("v")).alias("h2")]
@@ -129,76 +204,79 @@ def neighbours(
         sample = np.stack([np.frombuffer(r["v"], np.float32) for r in sorted(hashed_sample(vectors, ["c"], sample_rows).collect())])
         half = width // 2
         kk = int(np.clip(round((n / cell_rows) ** 0.5), 1, max_centroids))
-        c1, c2 = kmeans(sample[:, :half], kk), kmeans(sample[:, half:], kk, seed=1)
-        t = max(1, round(probe_share * len(c1) * len(c2))) if probe_share else probes
-        groups = kmeans(c1, min(len(c1), max(min_regions, round(n / block_rows))), seed=2)
+        turn = balanced_rotation(sample)
+        turned = sample @ turn
+        c1, c2 = kmeans(turned[:, :half], kk), kmeans(turned[:, half:], kk, seed=1)
+        most = max(quota, int(np.ceil(share * n)))
+        groups = kmeans(c1, min(len(c1), max(1, round(n / block_rows))), seed=2)
         region = _distances(c1, groups).argmin(1).astype(np.int32)  # of each first-half centroid
-        index = vectors.sparkSession.sparkContext.broadcast((c1, c2, region, t))
+        sc = vectors.sparkSession.sparkContext
+        index = sc.broadcast((turn, c1, c2, region))
 
         def file_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c1, c2, region, _ = index.value
+            turn, c1, c2, region = index.value
             for b in pieces(batches, 4096):
-                x = _vectors(b.column(1), width)
+                x = _vectors(b.column(1), width) @ turn
                 i, j = _distances(x[:, :half], c1).argmin(1), _distances(x[:, half:], c2).argmin(1)
                 arrays = [pa.array(region[i]), b.column(0), pa.array((i * len(c2) + j).astype(np.int32)), b.column(1)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["g", "c", "cell", "v"])
 
+        filed = stage(vectors.mapInArrow(file_, "g int, c long, cell int, v binary"))
+        held = filed.groupBy("cell").agg(F.count("*").alias("n")).toPandas()  # as many rows as cells at most
+        entries = np.zeros(len(c1) * len(c2), np.int32)
+        entries[held["cell"].to_numpy()] = held["n"].to_numpy()
+        known = sc.broadcast(entries)
+
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Queries to the regions of their cells, with the sum of distances of the last cell to visit."""
-            c1, c2, region, t = index.value
-            step = max(1, 2_000_000 // len(pairs_within(t, len(c1), len(c2))[0]))
-            for b in pieces(batches, min(step, 1024)):
-                x = _vectors(b.column(1), width)
-                d1, d2 = _distances(x[:, :half], c1), _distances(x[:, half:], c2)
-                cells = nearest_cells(d1, d2, t)
-                row = np.arange(b.num_rows)[:, None]
-                edge = (d1[row, cells // len(c2)] + d2[row, cells % len(c2)]).max(axis=1)
-                to = np.zeros((b.num_rows, int(region.max()) + 1), bool)
-                to[row, region[cells // len(c2)]] = True
-                q, g = np.nonzero(to)
-                at = pa.array(q)
-                arrays = [pa.array(g.astype(np.int32)), b.column(0).take(at), pa.array(edge[q].astype(np.float32)), b.column(1).take(at)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["g", "c", "edge", "v"])
-
-        asking = vectors
+            """Queries to the regions of their cells, with the cells to look at there."""
+            turn, c1, c2, region = index.value
+            for b in pieces(batches, 2048):
+                x = _vectors(b.column(1), width) @ turn
+                q, cell = visited(_distances(x[:, :half], c1), _distances(x[:, half:], c2), known.value, most)
+                g = region[cell // len(c2)]
+                order = np.lexsort((cell, g, q))
+                q, g, cell = q[order], g[order], cell[order].astype(np.int32)
+                first = np.flatnonzero(np.diff(q * (int(region.max()) + 1) + g, prepend=-1))
+                lists = [cell[s:e].tobytes() for s, e in zip(first, np.append(first[1:], len(q)))]
+                at = pa.array(q[first])
+                arrays = [pa.array(g[first]), b.column(0).take(at), pa.array(lists, pa.binary()), b.column(1).take(at)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["g", "c", "cells", "v"])
+
+        asking, n_asking = vectors, n
         if queries is not None:
             wanted = members.filter(queries).select("h1", "h2").distinct()
-            asking = vectors.join(classes.select("h1", "h2", "c").join(wanted, ["h1", "h2"], "left_semi").select("c"), "c", "left_semi")
-        filed, asked = vectors.mapInArrow(file_, "g int, c long, cell int, v binary"), asking.mapInArrow(ask, "g int, c long, edge float, v binary")
-
-        def splits(d: DataFrame, most: int) -> dict[int, int]:  # as many rows as regions
-            return {r["g"]: -(-r["count"] // most) for r in d.groupBy("g").count().collect()}
-
-        fi, qi = splits(filed, block_rows), splits(asked, query_rows)
-        sizes = F.broadcast(vectors.sparkSession.createDataFrame([(g, fi[g], qi.get(g, 0)) for g in fi], "g int, ni int, nq int"))
+            asking = stage(vectors.join(classes.select("h1", "h2", "c").join(wanted, ["h1", "h2"], "left_semi").select("c"), "c", "left_semi"))
+            n_asking = asking.count()
+        asked = asking.mapInArrow(ask, "g int, c long, cells binary, v binary")
+
+        # how many queries a region gets is told from some of the sample; it only decides into how many blocks it is split
+        some = turned[:1024]
+        q, cell = visited(_distances(some[:, :half], c1), _distances(some[:, half:], c2), entries, most)
+        to = np.unique(np.stack([q, region[cell // len(c2)]]), axis=1)[1]
+        expected = np.bincount(to, minlength=len(groups)) * (1.1 * n_asking / len(some)) + 1
+        by_region = filed.groupBy("g").agg(F.count("*").alias("n")).collect()  # as many rows as regions
+        sizes = [(r["g"], -(-r["n"] // block_rows), int(-(-expected[r["g"]] // query_rows))) for r in by_region]
+        sizes = F.broadcast(vectors.sparkSession.createDataFrame(sizes, "g int, ni int, nq int"))
 
         def every(n: str):
             return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-        left = filed.join(sizes.filter("nq > 0"), "g").withColumn("bi", F.pmod(F.xxhash64("c"), F.col("ni")).cast("int")).withColumn("bq", every("nq"))
+        left = filed.join(sizes, "g").withColumn("bi", F.pmod(F.xxhash64("c"), F.col("ni")).cast("int")).withColumn("bq", every("nq"))
         right = asked.join(sizes, "g").withColumn("bq", F.pmod(F.xxhash64("c"), F.col("nq")).cast("int")).withColumn("bi", every("ni"))
         floor_ = -2.0 if min_cosine is None else min_cosine - 1e-6
 
         def block(a: pa.Table, q: pa.Table) -> pa.Table:
-            c1, c2, _, _ = index.value
             kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             if a.num_rows and q.num_rows:
                 ids, cell = a["c"].to_numpy(), a["cell"].to_numpy()
                 order = np.argsort(cell, kind="stable")
                 ids, cell, x = ids[order], cell[order], _vectors(a["v"], width)[order]
                 qid, y = q["c"].to_numpy(), _vectors(q["v"], width)
+                lists = q["cells"].to_pylist()
+                probe = np.frombuffer(b"".join(lists), np.int32)
+                of = np.repeat(np.arange(len(qid)), np.fromiter((len(z) // 4 for z in lists), np.int64, len(lists)))
                 present = np.unique(cell)
                 worst = np.full(len(qid), floor_, np.float32)
-                edge = q["edge"].to_numpy() + np.float32(1e-5)
-                rows_ = np.unique(present // len(c2))  # the region's first-half centroids
-                filled = np.isin(rows_[:, None] * len(c2) + np.arange(len(c2)), present)
-                probe, of = [], []
-                for s in range(0, len(qid), 2048):
-                    d1, d2 = _distances(y[s : s + 2048, :half], c1[rows_]), _distances(y[s : s + 2048, half:], c2)
-                    near, i, j = np.nonzero((d1[:, :, None] + d2[:, None, :] <= edge[s : s + 2048, None, None]) & filled)
-                    of.append(near + s)
-                    probe.append(rows_[i] * len(c2) + j)
-                probe, of = np.concatenate(probe), np.concatenate(of)
                 by = np.argsort(probe, kind="stable")
                 probe, of = probe[by], of[by]
                 held = 0
@@ -243,7 +321,7 @@ def neighbours(
             return q[rank < k], i[rank < k], s[rank < k]
 
         keys = ["g", "bi", "bq"]
-        found = left.select(*keys, "c", "cell", "v").groupBy(*keys).cogroup(right.select(*keys, "c", "edge", "v").groupBy(*keys)).applyInArrow(block, out_schema)
+        found = left.select(*keys, "c", "cell", "v").groupBy(*keys).cogroup(right.select(*keys, "c", "cells", "v").groupBy(*keys)).applyInArrow(block, out_schema)
     else:
         found = classes.sparkSession.createDataFrame([], out_schema)
     best_classes = found.withColumn("rank", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("cosine"), "nc"))).filter(F.col("rank") <= k)

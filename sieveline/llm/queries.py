@@ -60,13 +60,13 @@ def p4_report(spark, sf):
 
 
 def p5_found(spark, sf):
-    near = neighbours.neighbours(_table(spark, sf, "chunks"), min_cosine=0.9)
+    near = neighbours.neighbours(_table(spark, sf, "chunks"), min_cosine=0.9, quota=1536, share=0.0)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
 def p5_neighbours(spark, sf):
     """Queries are the ids divisible by 20, against all rows."""
-    return neighbours.neighbours(_table(spark, sf, "chunks"), queries=F.col("id") % 20 == 0, probe_share=1 / 7, cell_rows=256)
+    return neighbours.neighbours(_table(spark, sf, "chunks"), queries=F.col("id") % 20 == 0)
 
 
 def p6_found(spark, sf):
