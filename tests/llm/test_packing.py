@@ -20,15 +20,36 @@ def best(sizes, cap):
 @settings(max_examples=120, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=7))
 def test_few_sizes_are_packed_at_best(sizes):
-    got = P.complete(sizes, 20)
+    got = P.complete(sizes, 20, max_steps=None)
     assert sorted(s for c in got for s in c) == sorted(sizes) and all(sum(c) <= 20 for c in got)
-    assert len(got) <= best(sizes, 20) + (len(sizes) > 6)
+    assert len(got) == best(sizes, 20)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=8), st.integers(0, 14), st.integers(0, 14))
+def test_fillings_are_all_those_that_nothing_dominates(sizes, room, slack):
+    left = sorted(sizes)
+    sets = {tuple(sorted((left[i] for i in c), reverse=True)) for n in range(len(left) + 1) for c in combinations(range(len(left)), n)}
+    fit = {f for f in sets if sum(f) <= room and room - sum(f) <= slack}
+
+    def beaten(f):  # by one text outside in place of a part
+        out = list(left)
+        for s in f:
+            out.remove(s)
+        for n in range(len(f) + 1):
+            for part in combinations(f, n):
+                for x in out:
+                    if sum(part) <= x <= sum(part) + room - sum(f) and (n > 1 or x > sum(part)):
+                        return True
+        return False
+
+    assert sorted(P.fillings(left, room, slack)) == sorted(f for f in fit if not beaten(f))
 
 
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 4096), max_size=300))
 def test_many_sizes_are_whole_and_fit(sizes):
-    got = P.complete(sizes, 4096, max_nodes=200)
+    got = P.complete(sizes, 4096, max_steps=5000)
     assert sorted(s for c in got for s in c) == sorted(sizes) and all(sum(c) <= 4096 for c in got)
 
 
@@ -49,6 +70,13 @@ def test_rows(spark):
     assert {r["doc_id"] for r in got if r["n_pieces"] > 1} == {1}
 
 
+def test_blocks_tell_their_gap(spark):
+    rows = [(i, "c" * (37 * i % 3000)) for i in range(300)]
+    got = P.block_report(P.pack(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=100)).collect()
+    assert len(got) == 3 and all(0 <= r["gap"] <= 1 for r in got) and sum(r["tokens"] for r in got) == sum(37 * i % 3000 + 1 for i in range(300))
+    assert P.block_report(P.pack(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
 def test_report_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a" * 10)], "doc_id long, text string")
     r = P.packing_report(P.pack(df, capacity=22), 22).first()
