@@ -12,7 +12,7 @@ On the cluster: first-half centroids that lie close together form a region. Vect
 filed under the region of their cell, queries are sent to the regions of their cells with
 the list of cells to look at there, and a region with many vectors or queries is split
 into a grid of blocks. A task thus holds about ``block_rows`` vectors and ``query_rows``
-queries, and regions grow in number, not in size. Equal vectors are one entry with its
+queries, and beyond ``min_regions`` regions grow in number, not in size. Equal vectors are one entry with its
 least keys, so copies cost nothing in the search.
 
 Fitted on a bounded sample: rotation and codebooks, on about ``sample_rows`` vectors with
@@ -176,7 +176,7 @@ def usable(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
 
 def neighbours(
     df: DataFrame, *, key: str = "id", vector: str = "embedding", width: int = 64, k: int = 5, queries=None, quota: int = 2048, share: float = 0.1,
-    min_cosine: float | None = None, cell_rows: int = 16, max_centroids: int = 1024, sample_rows: int = 20_000, block_rows: int = 16_000, query_rows: int = 32_000,
+    min_cosine: float | None = None, cell_rows: int = 16, max_centroids: int = 1024, sample_rows: int = 20_000, block_rows: int = 60_000, query_rows: int = 150_000, min_regions: int = 8,
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): for every query the ``k`` most similar other vectors found.
 
@@ -208,7 +208,7 @@ def neighbours(
         turned = sample @ turn
         c1, c2 = kmeans(turned[:, :half], kk), kmeans(turned[:, half:], kk, seed=1)
         most = max(quota, int(np.ceil(share * n)))
-        groups = kmeans(c1, min(len(c1), max(1, round(n / block_rows))), seed=2)
+        groups = kmeans(c1, min(len(c1), max(min_regions, round(n / block_rows))), seed=2)
         region = _distances(c1, groups).argmin(1).astype(np.int32)  # of each first-half centroid
         sc = vectors.sparkSession.sparkContext
         index = sc.broadcast((turn, c1, c2, region))
