@@ -1,4 +1,8 @@
-"""Inspected examples: (form, kind, text). All content is invented."""
+"""Inspected examples: (form, kind, text), labelled by hand.
+
+All content is invented; some whole texts and many lines are rows of the given test tables, where they were inspected. No
+measured figure is taken on them.
+"""
 
 _STORY = (
     "Cơ quan chức năng xã Lam Đồi đã nhận 21 đơn trình báo cùng nhắc đến Kavopimu. Một biến thể khác xuất hiện từ 8/10, trong đó kẻ xấu gọi điện "

@@ -9,15 +9,16 @@
 3. Every class gets ``bands * rows`` consistent weighted samples of its shingles, weight
    term frequency times inverse document frequency; two texts agree in a sample with a
    chance equal to their weighted Jaccard similarity.
-   For the plain measure the samples are plain too: every distinct shingle has one
-   chance, so that the chance of a candidate follows from the similarity that counts,
-   however common the shingles of a group are, and step 2 is left out. Bands follow from
-   the threshold. Their rows carry the number of shingles and one bit of 64 further
-   samples; pairs whose sizes rule the threshold out, or whose bits differ too often for
-   it, are no candidates.
-4. Classes that agree in a whole band are candidates (an equi-join by band hash, where
-   adaptive execution splits hot hashes), and each candidate pair is verified on the
-   texts by weighted or plain Jaccard similarity.
+   For the plain measure a shingle weighs by its inverse document frequency alone, between
+   LEAST_PLAIN and 1. So a pair of plain similarity s has a weighted one of at least
+   ``weighted_bound(s)``, however common the shingles of a group are, and bands and rows
+   follow from that bound at the threshold. Rows of bands carry the number of shingles
+   and one bit of each of 64 further samples; pairs whose sizes rule the threshold out, or
+   whose bits differ too often for it, are no candidates.
+4. Classes that agree in a whole band are candidates. Bands that many classes share, as
+   samples of the classes tell, are cut into blocks, and each pair of blocks is a key of
+   its own in the equi-join, so no task compares a hot band alone. Each candidate pair
+   is verified on the texts by weighted or plain Jaccard similarity.
 5. Pairs of classes become pairs of keys. Classes of up to ``expand`` keys in a table are
    written out there; a larger one takes part through its least key, and its copies are
    linked to that key, so no link between different texts is lost and output stays linear in copies.
@@ -47,8 +48,12 @@ _LEVELS = 4096
 LEAST_WEIGHT = 0.35
 #: Bands and rows of the weighted measure: a pair of weighted similarity s is a candidate with chance 1 - (1 - s ** 5) ** 44.
 WEIGHTED_BANDS = (44, 5)
+#: The weight of the commonest shingle as a share of a rare one's by the plain measure.
+LEAST_PLAIN = 0.9
 #: Chance at the least of a pair at the threshold to be a candidate by the plain measure.
 PLAIN_RECALL = 0.992
+#: Classes in a band beyond which it is cut into blocks of this size, and the share of the classes looked at to find such bands.
+HOT_BAND, HOT_SHARE = 4096, 64
 
 
 def _gamma2_quantiles(n: int) -> np.ndarray:
@@ -91,35 +96,24 @@ class Sampler:
         return mix64(out)
 
 
-class PlainSampler:
-    """Samples that two sets of shingles share with a chance equal to their plain Jaccard similarity; weights are not looked at."""
-
-    def __init__(self, samples: int):
-        self.by_sample = multipliers(samples, salt=101)
-
-    def samples(self, ids: np.ndarray, log_weight: np.ndarray | None, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """As those of ``Sampler``."""
-        out = np.empty((len(starts), len(self.by_sample)), np.uint64)
-        for k, m in enumerate(self.by_sample):
-            x = ids * m
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(0x9E3779B97F4A7C15)
-            out[:, k] = np.minimum.reduceat(x, starts)
-        return mix64(out)
+def weighted_bound(s: float) -> float:
+    """The least weighted similarity of a pair of plain similarity ``s`` if weights are between LEAST_PLAIN and 1."""
+    return s * LEAST_PLAIN / (s * LEAST_PLAIN + 1 - s)
 
 
 def plain_bands(threshold: float) -> tuple[int, int]:
-    """(bands, rows) that find a pair at ``threshold`` with a chance of PLAIN_RECALL: six rows, or fewer where that takes more than 128 bands."""
-    for rows in range(6, 0, -1):
-        bands = int(np.ceil(np.log(1 - PLAIN_RECALL) / np.log1p(-min(threshold, 0.99) ** rows)))
+    """(bands, rows) that find a pair at the plain ``threshold`` with a chance of PLAIN_RECALL: five rows, or fewer where that takes more than 128 bands."""
+    w = min(weighted_bound(threshold), 0.99)
+    for rows in range(5, 0, -1):
+        bands = int(np.ceil(np.log(1 - PLAIN_RECALL) / np.log1p(-(w**rows))))
         if bands <= 128:
             break
     return bands, rows
 
 
 def most_differing(threshold: float) -> int:
-    """Of 64 bits, each of one plain sample: the most in which a pair at ``threshold`` differs, but for one pair in some 7,000."""
-    p = (1 - threshold) / 2
+    """Of 64 bits, each of one sample: the most in which a pair at the plain ``threshold`` differs, but for one pair in some 7,000."""
+    p = (1 - weighted_bound(threshold)) / 2
     return int(64 * p + 3.65 * np.sqrt(64 * p * (1 - p)))
 
 
@@ -185,16 +179,18 @@ def similar_classes(
     """(a, b, similarity): pairs of class keys whose texts are alike at least by ``threshold``."""
     plain = measure == "plain"
     top = float(np.log(1 / rare))
-    frequent, idf = np.empty(0, np.uint64), np.empty(0)
-    if not plain:
-        n = classes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-        common = _frequencies(classes, words_per_shingle).filter(F.col("n") >= F.lit(rare * n)).toPandas().sort_values("shingle")
-        frequent = common["shingle"].to_numpy(np.int64).view(np.uint64)
-        idf = np.clip(np.log(max(1, n) / np.maximum(1, common["n"].to_numpy(np.float64))), LEAST_WEIGHT * top, top)
+    n = classes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    common = _frequencies(classes, words_per_shingle).filter(F.col("n") >= F.lit(rare * n)).toPandas()
+    frequent = common["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(frequent)
+    frequent, times_ = frequent[order], common["n"].to_numpy(np.float64)[order]
+    idf = np.log(max(1, n) / np.maximum(1, times_))
+    # clipped for the weighted measure, pressed into the narrow range for the plain one
+    idf = np.clip(LEAST_PLAIN * top + (1 - LEAST_PLAIN) * idf, LEAST_PLAIN * top, top) if plain else np.clip(idf, LEAST_WEIGHT * top, top)
     shared = classes.sparkSession.sparkContext.broadcast((frequent, idf, top))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = PlainSampler(bands * rows + 64) if plain else Sampler(bands * rows)
+        sampler = Sampler(bands * rows + 64 * plain)
         frequent, idf, top = shared.value
         m = multipliers(rows, salt=303)
         for b in pieces(batches):
@@ -203,19 +199,25 @@ def similar_classes(
                 continue
             starts = np.flatnonzero(np.diff(doc, prepend=-1))
             sizes = np.diff(np.append(starts, len(doc)))
-            h = sampler.samples(ids, None if plain else np.log(_weights(ids, times, frequent, idf, top)), starts, sizes)
+            weight = _weights(ids, np.ones(len(ids)) if plain else times, frequent, idf, top)
+            h = sampler.samples(ids, np.log(weight), starts, sizes)
             bits = ((h[:, bands * rows :] & np.uint64(1)) << np.arange(h.shape[1] - bands * rows, dtype=np.uint64)).sum(axis=1)
             h = (h[:, : bands * rows].reshape(len(starts), bands, rows) * m).sum(axis=2) + np.arange(bands, dtype=np.uint64)
             c = b.column(0).take(pa.array(np.repeat(doc[starts], bands)))
             more = [signed(np.repeat(bits, bands)), pa.array(np.repeat(sizes, bands).astype(np.int32))] if plain else []
             yield pa.RecordBatch.from_arrays([c, signed(mix64(h).ravel()), *more], names=["c", "band", "bits", "size"][: 2 + len(more)])
 
-    signed_ = classes.select("c", "content").mapInArrow(sign, "c long, band long" + ", bits long, size int" * plain)
-    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))
+    schema = "c long, band long" + ", bits long, size int" * plain
+    some = classes.filter(F.pmod(F.xxhash64("c"), F.lit(HOT_SHARE)) == 0).select("c", "content").mapInArrow(sign, schema)
+    hot = some.groupBy("band").agg(F.ceil(F.count("*") * HOT_SHARE / HOT_BAND).cast("int").alias("nb")).filter("nb > 1")
+    signed_ = classes.select("c", "content").mapInArrow(sign, schema).join(hot, "band", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    block, other = F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    left, right = signed_.withColumn("i", block).withColumn("j", other), signed_.withColumn("j", block).withColumn("i", other)
+    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.c") < F.col("y.c"))
     if plain:
         meet &= F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(threshold - 1e-9)
         meet &= F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= most_differing(threshold)
-    pairs = signed_.alias("x").join(signed_.alias("y"), meet)
+    pairs = left.alias("x").join(right.alias("y"), meet)
     pairs = pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     texts = classes.select("c", "content")
     both = pairs.join(texts.withColumnsRenamed({"c": "a", "content": "ta"}), "a").join(texts.withColumnsRenamed({"c": "b", "content": "tb"}), "b")

@@ -40,7 +40,13 @@ def p3_found(spark, sf):
 
 
 def p3_groups(spark, sf):
-    return near_duplicates.near_groups(_texts(spark, sf))
+    """The groups that the pairs of p3_found form."""
+    return near_duplicates.near_groups(_texts(spark, sf), words_per_shingle=3, threshold=0.6, measure="plain")
+
+
+def p3_pairs(spark, sf):
+    """Pairs by the weighted measure at the defaults, five words and 0.8."""
+    return near_duplicates.near_pairs(_texts(spark, sf)).select("rec_table", "id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
 def p4_found(spark, sf):

@@ -1,23 +1,27 @@
 """Per-document text statistics, and the form of a text told from them by a Gaussian mixture.
 
-Statistics are computed for every document in Arrow batches. A Gaussian mixture is
-fitted to the standardised statistics of a bounded sample (``sample_rows`` documents
-with the least hash) by expectation-maximisation, with one starting component for each
-kind of inspected example. Components are then mapped to prose, list, table or junk by
-how likely they make the inspected examples of each form, and every document gets the
-form of the greatest posterior.
+Statistics are computed for every document in Arrow batches and written once. They are
+standardised by their mean and deviation over all documents, and a Gaussian mixture is
+fitted to them by expectation-maximisation: first rounds on a bounded sample
+(``sample_rows`` documents with the least hash) give a start, then every round sums over
+all documents, in tasks that send weights, sums and products of each component, until the
+likelihood settles. One component starts at each kind of inspected example; the examples
+weigh as ``pull`` documents a component, whatever the number of documents. Components are
+then mapped to prose, list, table or junk by how likely they make the inspected examples
+of each form, and every document gets the form of the greatest posterior.
 
 Shares are shares of characters without white space, so that a text with a short list
 or table added keeps the statistics of what most of it is.
 
-Nulls and edge cases: a null or blank text has all statistics 0 and no form; rows
-repeated whole count once; texts are read whole whatever their length.
+Nulls and edge cases: a null or blank text has all statistics 0 and no form; a null key is a
+key; rows repeated whole count once; texts are read whole whatever their length; without
+any text there is no form.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.wordstream import map_codes, mix64, words
 from sieveline.llm._batches import hashed_sample, pieces
+from sieveline.session import stage
 
 #: Common words of the two languages, without case and diacritics.
 COMMON_WORDS = (
@@ -227,46 +232,62 @@ class Mixture:
         p = np.exp(lp)
         return p / p.sum(1, keepdims=True)
 
+    def sums(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """(of each component the weight, the weighted sum and the weighted products of the rows, log likelihood of all rows)."""
+        lp = self.log_parts(x)
+        top = lp.max(1, keepdims=True)
+        p = np.exp(lp - top)
+        whole = p.sum(1, keepdims=True)
+        r = p / whole
+        out = [np.concatenate([[w.sum()], w @ x, ((x.T * w) @ x).ravel()]) for w in r.T]
+        return np.stack(out), float((top + np.log(whole)).sum())
+
+    def step(self, sums: np.ndarray, start: np.ndarray, pull: float) -> None:
+        """The parameters that make the summed rows most likely; ``pull`` counts as that many rows at each component's ``start``."""
+        d = self.mean.shape[1]
+        n = sums[:, 0]
+        for k in np.flatnonzero(n > 1e-3):
+            first, second = sums[k, 1 : d + 1], sums[k, d + 1 :].reshape(d, d)
+            m = (first + pull * start[k]) / (n[k] + pull)
+            c = second - np.outer(first, m) - np.outer(m, first) + n[k] * np.outer(m, m)
+            self.mean[k] = m
+            self.cov[k] = ((c + c.T) / 2 + np.eye(d) * 4 * self.floor) / (n[k] + 4) + np.eye(d) * self.floor
+        self.weight = (n + 0.5) / (n + 0.5).sum()
+
     def fit(self, x: np.ndarray, rounds: int = 25, pull: float = 15.0) -> Mixture:
-        """``pull`` counts as that many observations at a component's starting mean."""
-        d, start = x.shape[1], self.mean.copy()
+        """Rounds over rows that are in memory."""
+        start = self.mean.copy()
         for _ in range(rounds):
-            r = self.posterior(x)
-            n = r.sum(0)
-            for k in np.flatnonzero(n > 1e-3):
-                m = (r[:, k] @ x + pull * start[k]) / (n[k] + pull)
-                y = x - m
-                c = (y.T * r[:, k]) @ y
-                self.mean[k] = m
-                self.cov[k] = (c + np.eye(d) * 4 * self.floor) / (n[k] + 4) + np.eye(d) * self.floor
-            self.weight = (n + 0.5) / (n + 0.5).sum()
+            self.step(self.sums(x)[0], start, pull)
         return self
 
 
 class FormModel:
     """Standardisation, mixture and the form of each component."""
 
-    def __init__(self, sample: np.ndarray, examples: list[tuple[str, str, str]]):
-        ex = standardised(statistics([t for _, _, t in examples]))
-        x = standardised(sample) if len(sample) else ex
-        self.mid, self.scale = x.mean(0), np.maximum(x.std(0), 0.02)
-        ex, x = self._scaled(ex), self._scaled(x)
+    def __init__(self, mid: np.ndarray, scale: np.ndarray, examples: list[tuple[str, str, str]]):
+        self.mid, self.scale, self.examples = mid, scale, examples
+        self.shown = self.scaled(statistics([t for _, _, t in examples]))
         kinds = sorted({(f, k) for f, k, _ in examples})
         of = np.array([kinds.index((f, k)) for f, k, _ in examples])
-        self.mixture = Mixture(np.stack([ex[of == i].mean(0) for i in range(len(kinds))])).fit(x)
-        # components take the forms of the inspected examples that they explain
-        r = self.mixture.posterior(ex)
-        form = np.array([FORMS.index(f) for f, _, _ in examples])
+        self.kinds, self.start = kinds, np.stack([self.shown[of == i].mean(0) for i in range(len(kinds))])
+        self.mixture = Mixture(self.start)
+
+    def named(self) -> FormModel:
+        """With the forms of the components: those of the inspected examples that they explain."""
+        r = self.mixture.posterior(self.shown)
+        form = np.array([FORMS.index(f) for f, _, _ in self.examples])
         votes = np.stack([r[form == i].sum(0) / max(1, (form == i).sum()) for i in range(len(FORMS))], 1)
-        start = np.eye(len(FORMS))[[FORMS.index(f) for f, _ in kinds]]  # a component that explains none keeps its start's
-        self.form = (votes + 0.02 * start) / (votes + 0.02 * start).sum(1, keepdims=True)
+        own = 0.02 * np.eye(len(FORMS))[[FORMS.index(f) for f, _ in self.kinds]]  # a component that explains none keeps its start's
+        self.form = (votes + own) / (votes + own).sum(1, keepdims=True)
+        return self
 
-    def _scaled(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mid) / self.scale, -6, 6)
+    def scaled(self, s: np.ndarray) -> np.ndarray:
+        return np.clip((standardised(s) - self.mid) / self.scale, -6, 6)
 
     def forms(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The most likely form of each row of statistics and its posterior."""
-        p = self.mixture.posterior(self._scaled(standardised(s))) @ self.form
+        p = self.mixture.posterior(self.scaled(s)) @ self.form
         return p.argmax(1), p.max(1)
 
 
@@ -283,24 +304,79 @@ def text_statistics(df: DataFrame, *, key: str = "doc_id", text: str = "text") -
     return out.distinct().withColumnRenamed("k", key)
 
 
-def train_forms(df: DataFrame, *, key: str = "doc_id", text: str = "text", sample_rows: int = 6000) -> FormModel:
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The statistics of a batch, a row a document."""
+    return np.stack([batch.column(c).to_numpy() for c in STATISTICS], axis=1)
+
+
+def _summed(found: DataFrame, rows: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The sum over all documents of what ``rows`` gives for a batch of statistics, a matrix of the given shape."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for b in batches:
+            for p in pieces(iter([b]), 4096):
+                total += rows(_matrix(p))
+        place = np.arange(total.size, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total.ravel())], names=["place", "value"])
+
+    sums = found.mapInArrow(work, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()  # one row an element
+    out = np.zeros(shape[0] * shape[1])
+    out[sums["place"].to_numpy()] = sums["value"].to_numpy()
+    return out.reshape(shape)
+
+
+def train_forms(found: DataFrame, *, key: str = "doc_id", sample_rows: int = 6000, pull: float = 5.0, rounds: int = 12, settled: float = 1e-3) -> FormModel:
+    """The model fitted to the statistics of all documents, ``found`` (key, STATISTICS), which is read once a round.
+
+    ``settled`` is the gain in mean log likelihood below which rounds end.
+    """
     from sieveline.llm.form_examples import EXAMPLES
 
-    full = df.filter(F.col(text).rlike(r"\S")).select(key, text)
-    rows = text_statistics(hashed_sample(full, [key], sample_rows), key=key, text=text).drop(key).toPandas()
-    x = rows.to_numpy(float)
-    return FormModel(x[np.lexsort(x.T)], EXAMPLES)
+    d = len(STATISTICS)
+
+    def moments(s: np.ndarray) -> np.ndarray:
+        x = standardised(s)
+        return np.stack([np.full(d, float(len(x))), x.sum(0), (x * x).sum(0)])
+
+    n, first, second = _summed(found, moments, (3, d))
+    if not n[0]:
+        shown = standardised(statistics([t for _, _, t in EXAMPLES]))
+        return FormModel(shown.mean(0), np.maximum(shown.std(0), 0.02), EXAMPLES).named()
+    mid = first / n
+    model = FormModel(mid, np.maximum(np.sqrt(np.maximum(second / n - mid * mid, 0)), 0.02), EXAMPLES)
+    sample = hashed_sample(found, [key], sample_rows).select(*STATISTICS).toPandas().to_numpy(float)
+    model.mixture.fit(model.scaled(sample[np.lexsort(sample.T)]))
+    before = -np.inf
+    k = len(model.start)
+    for _ in range(rounds):
+        shared = found.sparkSession.sparkContext.broadcast(model)
+
+        def expected(s: np.ndarray, shared=shared) -> np.ndarray:
+            sums, likelihood = shared.value.mixture.sums(shared.value.scaled(s))
+            return np.concatenate([sums, np.full((k, 1), likelihood)], axis=1)
+
+        total = _summed(found, expected, (k, 2 + d + d * d))
+        shared.unpersist()
+        model.mixture.step(total[:, :-1], model.start, pull)
+        gain, before = total[0, -1] / n[0] - before, total[0, -1] / n[0]
+        if gain < settled:
+            break
+    return model.named()
 
 
 def forms(df: DataFrame, *, key: str = "doc_id", text: str = "text", model: FormModel | None = None, **options) -> DataFrame:
-    """(key, form, posterior): the form of every text that is not blank; ``options`` go to ``train_forms``."""
-    fitted = df.sparkSession.sparkContext.broadcast(model or train_forms(df, key=key, text=text, **options))
+    """(key, form, posterior): the form of every text that is not blank; ``options`` go to ``train_forms``.
+
+    ``model`` is one that ``train_forms`` gave; without it one is fitted to these documents first.
+    """
+    found = stage(text_statistics(df.filter(F.col(text).rlike(r"\S")), key=key, text=text))
+    fitted = df.sparkSession.sparkContext.broadcast(model or train_forms(found, key=key, **options))
     kind = df.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 512):
-            f, p = fitted.value.forms(statistics(b.column(1).to_pylist()))
+        for b in pieces(batches, 4096):
+            f, p = fitted.value.forms(_matrix(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([FORMS[i] for i in f], pa.string()), pa.array(p)], names=["k", "form", "posterior"])
 
-    rows = df.filter(F.col(text).rlike(r"\S")).select(key, text)
-    return rows.mapInArrow(work, f"k {kind}, form string, posterior double").distinct().withColumnRenamed("k", key)
+    return found.select(key, *STATISTICS).mapInArrow(work, f"k {kind}, form string, posterior double").withColumnRenamed("k", key)

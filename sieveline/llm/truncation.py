@@ -41,14 +41,26 @@ from pyspark.sql import functions as F
 from sieveline.functions.wordstream import mix64, multipliers
 from sieveline.llm._batches import pieces, signed
 from sieveline.session import cut as cut_lineage
+from sieveline.session import stage
 
 _BITS = 24
 _TRAIL = np.array([ord(c) for c in ".,!?…;:\"”’»)]}–-"], np.uint32)
 _TERMINAL = np.array([ord(c) for c in "!?…"], np.uint32)
 _OTHER = np.array([ord(c) for c in ",;:–-"], np.uint32)
 #: Marks that are put after a stop.
-MARK = r"(?:\s*(?:\[\.\.\.\]|\[…\]|\(\.\.\.\)|\.\.\.|…))+\s*$"
-_STRIP = r"\s+$"
+MARKS = ("[...]", "[…]", "(...)", "...", "…")
+
+
+def without_marks(text: str) -> tuple[str, int]:
+    """A text without marks and white space at its end, and its length without the marks and what stands before them.
+
+    Where there is no mark the length is that of the text as it is.
+    """
+    bare, n = text.rstrip(), len(text)
+    while mark := next((m for m in MARKS if bare.endswith(m)), None):
+        bare = bare[: -len(mark)].rstrip()
+        n = len(bare)
+    return bare, n
 
 
 @dataclass
@@ -182,29 +194,32 @@ def _common_tokens(rows: DataFrame, common: float) -> np.ndarray:
 
 
 def _endings(rows: DataFrame, common: float) -> DataFrame:
-    """(id, field, p_end, stopped, unseen): how likely a sentence ends after the value's last tokens."""
+    """(id, field, source, chars, bytes, bare, stopped, p_end): how likely a sentence ends after the value's last tokens, and its sizes,
+    of which ``bare`` is without a mark at the end."""
     sc = rows.sparkSession.sparkContext
     vocabulary = sc.broadcast(_common_tokens(rows, common))
-    bare = rows.withColumn("bare", F.regexp_replace(F.regexp_replace("text", MARK, ""), _STRIP, "")).filter("bare <> ''")
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1024):
-            t = tokens([x.rpartition("\n")[2] for x in b.column(2).to_pylist()])
+            texts = b.column(3).to_pylist()
+            bare, length = zip(*map(without_marks, texts))
+            t = tokens([x.rpartition("\n")[2] for x in bare])
             at = np.flatnonzero(np.diff(t.doc, append=-1)) if len(t.doc) else np.zeros(0, np.int64)
             known = _known(t, vocabulary.value)
             cls = np.where(known, t.literal, t.shape)
             before = [x[at] for x in _before(t, cls)]
             doc = pa.array(t.doc[at])
-            stopped = (t.stop | t.terminal)[at]
-            arrays = [b.column(0).take(doc), b.column(1).take(doc), pa.array(stopped), pa.array(t.other[at])]
+            sizes = np.array([(len(x), len(x.encode("utf-8", "surrogatepass")), n) for x, n in zip(texts, length)], np.int32)[t.doc[at]]
+            arrays = [*(b.column(i).take(doc) for i in range(3)), *(pa.array(np.ascontiguousarray(c)) for c in sizes.T)]
+            arrays += [pa.array((t.stop | t.terminal)[at]), pa.array(t.other[at])]
             for last, part in ((cls, False), (t.literal, True), (t.shape, True)):
                 arrays += [signed(_key(last[at], before[k], k, part)) for k in range(4)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "field", "stopped", "open", *keys])
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "field", "source", "chars", "bytes", "bare", "stopped", "open", *keys])
 
     keys = [f"{what}{k}" for what in "xls" for k in range(4)]
-    kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, field string, stopped boolean, open boolean, " + ", ".join(f"{k} long" for k in keys)
-    tail = cut_lineage(bare.select("id", "field", "bare").mapInArrow(tails, schema))
+    kind, of = rows.schema["id"].dataType.simpleString(), rows.schema["source"].dataType.simpleString()
+    schema = f"id {kind}, field string, source {of}, chars int, bytes int, bare int, stopped boolean, open boolean, " + ", ".join(f"{k} long" for k in keys)
+    tail = stage(rows.select("id", "field", "source", "text").mapInArrow(tails, schema).withColumn("r", F.monotonically_increasing_id()))
     wanted = tail.select(F.explode(F.array(*keys)).alias("key")).distinct()
     # a bitmap of fixed size says which contexts may be asked for; other bits of the key choose the bit
     words_ = wanted.select(F.shiftrightunsigned("key", 64 - _BITS).alias("bit")).distinct()
@@ -226,12 +241,12 @@ def _endings(rows: DataFrame, common: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "e", "n"])
 
     counts = rows.select("text").mapInArrow(count, "key long, e long, n long").groupBy("key").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
-    each = tail.select("id", "field", "stopped", "open", F.posexplode(F.array(*keys)).alias("k", "key")).join(counts, "key", "left")
-    by = each.groupBy("id", "field", "stopped", "open").agg(
+    each = tail.select("r", F.posexplode(F.array(*keys)).alias("k", "key")).join(counts, "key")
+    by = each.groupBy("r").agg(
         *[F.max(F.when(F.col("k") == i, F.col("e"))).alias(f"e{i}") for i in range(4)],
         *[F.max(F.when(F.col("k") == i, F.col("n"))).alias(f"n{i}") for i in range(12)],
     )
-    by = by.na.fill(0)
+    by = tail.drop(*keys).join(by, "r", "left").na.fill(0, [f"e{i}" for i in range(4)] + [f"n{i}" for i in range(12)])
     # the value's own end is left out of the counts; words that go on where the value stops count against an end
     p = F.lit(0.05)
     for k, weight in enumerate((2.0, 6.0, 6.0, 6.0)):
@@ -239,7 +254,7 @@ def _endings(rows: DataFrame, common: float) -> DataFrame:
         p = (e + weight * p) / (F.greatest(n, e) + F.col(f"n{k + 4}") + F.col(f"n{k + 8}") + weight)
     unseen = (F.col("n0") <= 1) & ~F.col("stopped")
     p_end = F.when(F.col("open"), 0.005).when(unseen, 0.003).otherwise(p)
-    return by.select("id", "field", "stopped", p_end.alias("p_end"))
+    return by.select("id", "field", "source", "chars", "bytes", "bare", "stopped", p_end.alias("p_end"))
 
 
 def _phi(z: float) -> float:
@@ -279,10 +294,8 @@ def scored(df: DataFrame, *, key: str = "id", fields: tuple[str, ...] = ("conten
 
     ``limit`` is the candidate limit it stands at, as ``chars:1024`` or ``bytes:1000``.
     """
-    rows = _rows(df, key, fields, source)
-    ends = _endings(rows, common)
-    sizes = rows.select("id", "field", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.length(F.regexp_replace("text", MARK, "")).alias("bare"))
-    v = cut_lineage(sizes.join(ends, ["id", "field"]).withColumn("unfinished", (F.col("p_end") < 0.2) & ~F.col("stopped")))
+    rows = stage(_rows(df, key, fields, source))  # read three times: for its tokens, its endings and its contexts
+    v = cut_lineage(_endings(rows, common).withColumn("unfinished", (F.col("p_end") < 0.2) & ~F.col("stopped")))
     # lengths at which unfinished values heap up
     units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")]))
     heap = v.select("field", "unfinished", units.alias("x")).groupBy("field", "x.unit", "x.length").agg(F.count("*").alias("n"), F.count_if("unfinished").alias("u"))

@@ -55,6 +55,23 @@ def test_pairs_of_a_group_that_holds_a_third_of_the_texts(spark):
     assert not got - want and len(got & want) >= 0.99 * len(want)
 
 
+def test_a_hot_band_is_cut_into_blocks_without_losing_pairs(spark, monkeypatch):
+    base = text()
+    rows = [(i, edited(base, 1)) for i in range(120)] + [(500 + i, text()) for i in range(60)]
+    args = dict(words_per_shingle=3, threshold=0.8, measure="plain")
+    whole = {tuple(r)[:3] for r in N.near_pairs({"a": make(spark, rows)}, **args).collect()}
+    monkeypatch.setattr(N, "HOT_BAND", 16)
+    monkeypatch.setattr(N, "HOT_SHARE", 2)
+    assert {tuple(r)[:3] for r in N.near_pairs({"a": make(spark, rows)}, **args).collect()} == whole and len(whole) > 5000
+
+
+def test_bands_follow_from_the_least_weighted_similarity():
+    bands, rows = N.plain_bands(0.6)
+    assert 1 - (1 - N.weighted_bound(0.6) ** rows) ** bands >= N.PLAIN_RECALL and bands <= 128
+    # the worst case: all that is shared is common, all that is not is rare
+    assert abs(N.weighted_bound(0.6) - 0.6 * N.LEAST_PLAIN / (0.6 * N.LEAST_PLAIN + 0.4)) < 1e-12
+
+
 def test_tables_are_kept_apart(spark):
     t = text()
     a, b = make(spark, [(1, t), (2, t)]), make(spark, [(1, t), (3, edited(t, 1))])
