@@ -222,8 +222,8 @@ class Mixture:
         out = np.empty((len(x), len(self.mean)))
         for k, (m, c) in enumerate(zip(self.mean, self.cov)):
             low = np.linalg.cholesky(c)
-            z = np.linalg.solve(low, (x - m).T)
-            out[:, k] = np.log(self.weight[k] + 1e-12) - np.log(np.diag(low)).sum() - (z * z).sum(0) / 2
+            z = (x - m) @ np.linalg.inv(low).T
+            out[:, k] = np.log(self.weight[k] + 1e-12) - np.log(np.diag(low)).sum() - (z * z).sum(1) / 2
         return out
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
