@@ -31,6 +31,7 @@ once; texts of any length are read whole; empty tables give no pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ LEAST_PLAIN = 0.9
 PLAIN_RECALL = 0.992
 #: Classes in a band beyond which it is cut into blocks of this size, and the share of the classes looked at to find such bands.
 HOT_BAND, HOT_SHARE = 4096, 64
+#: The hottest bands, so many at most, are told to the tasks (16 bytes each); the others stay whole, which changes no result.
+MOST_HOT = 1 << 20
 
 
 def _gamma2_quantiles(n: int) -> np.ndarray:
@@ -117,6 +120,26 @@ def most_differing(threshold: float) -> int:
     return int(64 * p + 3.65 * np.sqrt(64 * p * (1 - p)))
 
 
+def in_blocks(band: np.ndarray, c: np.ndarray, hot: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, band, side): rows whose band is ``hot`` (rising) go to each pair of its blocks that they are in, under a band of the pair's own.
+
+    A row is in one block, by its class ``c``. It is on side 1 of the pairs whose first block that is and on side 2 of those whose
+    second block it is, so that any two rows meet once with the first on side 1. Other rows are on side 0.
+    """
+    if not len(hot):
+        return np.arange(len(band)), band, np.zeros(len(band), np.int8)
+    at = np.minimum(np.searchsorted(hot, band), len(hot) - 1)
+    nb = np.where(hot[at] == band, blocks[at], 0)
+    cold, many = np.flatnonzero(nb == 0), np.flatnonzero(nb)
+    row = np.repeat(many, nb[many])
+    n = nb[row]
+    own = (mix64(c[row].astype(np.int64).view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(nb[many]) - nb[many], nb[many])
+    pair = lambda i, j: mix64(band[row].view(np.uint64) + mix64((i * n + j + 1).view(np.uint64))).view(np.int64)
+    side = np.repeat(np.array([0, 1, 2], np.int8), [len(cold), len(row), len(row)])
+    return np.concatenate([cold, row, row]), np.concatenate([band[cold], pair(own, other), pair(other, own)]), side
+
+
 def shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text index, shingle, times): the distinct shingles of each text of a small batch, in order."""
     w = words(texts, "lower")
@@ -189,7 +212,7 @@ def similar_classes(
     idf = np.clip(LEAST_PLAIN * top + (1 - LEAST_PLAIN) * idf, LEAST_PLAIN * top, top) if plain else np.clip(idf, LEAST_WEIGHT * top, top)
     shared = classes.sparkSession.sparkContext.broadcast((frequent, idf, top))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch], hot: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(bands * rows + 64 * plain)
         frequent, idf, top = shared.value
         m = multipliers(rows, salt=303)
@@ -203,21 +226,26 @@ def similar_classes(
             h = sampler.samples(ids, np.log(weight), starts, sizes)
             bits = ((h[:, bands * rows :] & np.uint64(1)) << np.arange(h.shape[1] - bands * rows, dtype=np.uint64)).sum(axis=1)
             h = (h[:, : bands * rows].reshape(len(starts), bands, rows) * m).sum(axis=2) + np.arange(bands, dtype=np.uint64)
-            c = b.column(0).take(pa.array(np.repeat(doc[starts], bands)))
-            more = [signed(np.repeat(bits, bands)), pa.array(np.repeat(sizes, bands).astype(np.int32))] if plain else []
-            yield pa.RecordBatch.from_arrays([c, signed(mix64(h).ravel()), *more], names=["c", "band", "bits", "size"][: 2 + len(more)])
-
-    schema = "c long, band long" + ", bits long, size int" * plain
-    some = classes.filter(F.pmod(F.xxhash64("c"), F.lit(HOT_SHARE)) == 0).select("c", "content").mapInArrow(sign, schema)
-    hot = some.groupBy("band").agg(F.ceil(F.count("*") * HOT_SHARE / HOT_BAND).cast("int").alias("nb")).filter("nb > 1")
-    signed_ = classes.select("c", "content").mapInArrow(sign, schema).join(hot, "band", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-    block, other = F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    left, right = signed_.withColumn("i", block).withColumn("j", other), signed_.withColumn("j", block).withColumn("i", other)
-    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.c") < F.col("y.c"))
+            band = signed(mix64(h).ravel()).to_numpy()
+            at, band, side = in_blocks(band, b.column(0).to_numpy()[np.repeat(doc[starts], bands)], *hot)
+            of = at // bands
+            more = [signed(bits[of]), pa.array(sizes[of].astype(np.int32))] if plain else []
+            arrays = [b.column(0).take(pa.array(doc[starts][of])), pa.array(band), pa.array(side), *more]
+            yield pa.RecordBatch.from_arrays(arrays, names=["c", "band", "side", "bits", "size"][: 3 + len(more)])
+
+    schema = "c long, band long, side byte" + ", bits long, size int" * plain
+    no_hot = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    some = classes.filter(F.pmod(F.xxhash64("c"), F.lit(HOT_SHARE)) == 0).select("c", "content").mapInArrow(partial(sign, hot=no_hot), schema)
+    counts = some.groupBy("band").agg(F.ceil(F.count("*") * HOT_SHARE / HOT_BAND).alias("nb")).filter("nb > 1")
+    found = counts.orderBy(F.desc("nb")).limit(MOST_HOT).toPandas().sort_values("band")
+    hot = found["band"].to_numpy(np.int64), found["nb"].to_numpy(np.int64)
+    signed_ = classes.select("c", "content").mapInArrow(partial(sign, hot=hot), schema)
+    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))
+    meet &= (F.col("x.side") < 2) & (F.col("x.side") * 2 == F.col("y.side"))  # 0 with 0, 1 with 2
     if plain:
         meet &= F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(threshold - 1e-9)
         meet &= F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= most_differing(threshold)
-    pairs = left.alias("x").join(right.alias("y"), meet)
+    pairs = signed_.alias("x").join(signed_.alias("y"), meet)
     pairs = pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     texts = classes.select("c", "content")
     both = pairs.join(texts.withColumnsRenamed({"c": "a", "content": "ta"}), "a").join(texts.withColumnsRenamed({"c": "b", "content": "tb"}), "b")
