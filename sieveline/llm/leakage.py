@@ -24,10 +24,14 @@ from sieveline.functions.wordstream import Words, kgrams, words
 from sieveline.llm._batches import pieces, signed
 from sieveline.session import cut
 
-#: Test fingerprints are broadcast up to this many rows (16 bytes and a key each); beyond it the join shuffles.
-BROADCAST_FINGERPRINTS = 500_000
-#: Pairs of keys that share a fingerprint are broadcast to the texts up to this many.
-BROADCAST_HITS = 500_000
+#: A side whose keys and hashes take no more bytes than this is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
+
+
+def _small(df: DataFrame) -> bool:
+    """Whether all rows of ``df`` take BROADCAST_BYTES at most."""
+    size = sum((F.octet_length(F.col(c).cast("string")) for c in df.columns), F.lit(16))
+    return (df.agg(F.sum(size.cast("long")).alias("bytes")).first()["bytes"] or 0) <= BROADCAST_BYTES
 
 
 def winnow(w: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,27 +75,39 @@ def fingerprints(df: DataFrame, key: str, text: str, k: int, window: int) -> Dat
     return rows.mapInArrow(work, f"key {kind.simpleString()}, fp long")
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+class _Runs:
+    """Hashes of the runs of any length of a text's words, from sums over the powers of a base."""
+
+    def __init__(self, h: np.ndarray):
+        n = len(h)
+        power, back = np.full(n, _BASE), np.full(n, _INVERSE)
+        power[:1], back[:1] = 1, 1
+        self.back = np.multiply.accumulate(back)
+        self.upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.multiply.accumulate(power), dtype=np.uint64)])
+
+    def of(self, length: int) -> np.ndarray:
+        n = len(self.back) - length + 1
+        return (self.upto[length:] - self.upto[:n]) * self.back[:n] if n > 0 else np.zeros(0, np.uint64)
+
+
 def longest_shared(a: np.ndarray, b: np.ndarray, n: int) -> int:
-    """The most words in a row that two texts' word hashes share, if at least ``n``, else 0."""
-
-    def runs(x: np.ndarray) -> np.ndarray:
-        w = Words(x, np.zeros(len(x), np.int64), np.array([0, len(x)]))
-        return kgrams(w, n)[0]
-
-    ga, gb = runs(a), runs(b)
-    common = np.intersect1d(ga, gb)
-    if not len(common):
-        return 0
-    ia = np.flatnonzero(np.isin(ga, common))
-    order = np.argsort(gb, kind="stable")
-    lo, hi = np.searchsorted(gb[order], ga[ia], "left"), np.searchsorted(gb[order], ga[ia], "right")
-    i = np.repeat(ia, hi - lo)
-    j = order[np.concatenate([np.arange(x, y) for x, y in zip(lo, hi)])]
-    by = np.lexsort((i, i - j))  # runs on one diagonal that follow each other are one longer run
-    d, i = (i - j)[by], i[by]
-    new = np.ones(len(i), bool)
-    new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1)
-    return int(np.diff(np.append(np.flatnonzero(new), len(new))).max()) + n - 1
+    """The most words in a row that two texts' word hashes share, if at least ``n``, else 0.
+
+    Found by bisection over the length, so that words which are repeated many times on both sides cost no more than others.
+    """
+    x, y = _Runs(a), _Runs(b)
+    low, high = n - 1, min(len(a), len(b))  # runs of ``low`` words are shared, longer ones than ``high`` are not
+    while low < high:
+        middle = n if low < n else (low + high + 1) // 2
+        if len(np.intersect1d(x.of(middle), y.of(middle))):
+            low = middle
+        else:
+            high = middle - 1
+    return low if low >= n else 0
 
 
 def leaks(
@@ -100,8 +116,8 @@ def leaks(
 ) -> DataFrame:
     """(train_key, test_key, shared_words): each training text with each test item that shares ``min_words`` words in a row.
 
-    ``shared_words`` is the longest shared run. The test side's fingerprints are counted
-    and broadcast only up to BROADCAST_FINGERPRINTS rows, hits up to BROADCAST_HITS; beyond that the joins shuffle.
+    ``shared_words`` is the longest shared run. The test side's fingerprints, and the pairs of keys with a hit, are
+    broadcast only if they take BROADCAST_BYTES at most; beyond that the joins shuffle.
     """
     window = min_words - k + 1
     if k < 1 or window < 1:
@@ -110,11 +126,9 @@ def leaks(
     b = test.select(F.col(test_key).alias("e_key"), F.col(test_text).alias("e_text")).distinct()
     test_fp = cut(fingerprints(b, "e_key", "e_text", k, window).distinct()).withColumnRenamed("key", "e_key")
     train_fp = fingerprints(a, "t_key", "t_text", k, window).withColumnRenamed("key", "t_key")
-    small = test_fp.count() <= BROADCAST_FINGERPRINTS
-    hits = cut(train_fp.join(F.broadcast(test_fp) if small else test_fp, "fp").select("t_key", "e_key").distinct())
+    hits = cut(train_fp.join(F.broadcast(test_fp) if _small(test_fp) else test_fp, "fp").select("t_key", "e_key").distinct())
     # few hits go to the texts, so that texts without one are not shuffled
-    few = hits.count() <= BROADCAST_HITS
-    both = a.filter(F.col("t_text").isNotNull()).join(F.broadcast(hits) if few else hits, "t_key").join(b, "e_key")
+    both = a.filter(F.col("t_text").isNotNull()).join(F.broadcast(hits) if _small(hits) else hits, "t_key").join(b, "e_key")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in pieces(batches, 256):

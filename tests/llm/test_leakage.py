@@ -40,8 +40,7 @@ def test_every_shared_passage_is_found(spark):
 
 def test_the_shuffled_join_finds_the_same(spark, monkeypatch):
     docs, cases, want = make(spark)
-    monkeypatch.setattr(L, "BROADCAST_FINGERPRINTS", 0)
-    monkeypatch.setattr(L, "BROADCAST_HITS", 0)
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 0)
     assert {(r["doc_id"], r["case_id"]) for r in L.leaks(docs, cases).collect()} == want
 
 
@@ -70,3 +69,8 @@ def test_longest_shared_run():
     a, b = "x a b c d e y".split(), "a b c z a b c d e".split()
     h = lambda t: words([" ".join(t)]).hash
     assert L.longest_shared(h(a), h(b), 3) == 5 and L.longest_shared(h(a), h(b), 6) == 0
+
+
+def test_repeated_words_cost_no_pairs():
+    a, b = (L.words(["a b " * 20_000 + end]).hash for end in ("c", "d"))
+    assert L.longest_shared(a, b, 13) == 40_000 and L.longest_shared(a[:12], b, 13) == 0 and L.longest_shared(a[:0], b, 13) == 0
