@@ -28,7 +28,7 @@ rows repeated whole count once; values are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import erfc, exp, log, pi, sqrt
 
@@ -156,20 +156,30 @@ def _key(last: np.ndarray, before: np.ndarray, k: int, part: bool) -> np.ndarray
     return mix64(last * multipliers(1, salt=29)[0] + before + np.uint64(k + 10 * part))
 
 
-def contexts(t: Tokens, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, ended, parts): for each token the keys of the contexts of 1 to 4 tokens that end in it and whether a
-    sentence ended there; for each proper beginning of a token the keys of the contexts that end in it."""
+def contexts(t: Tokens, common: np.ndarray, asked: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ended): the contexts of 1 to 4 tokens that end in a token, and whether a sentence ended there, and those that end in a
+    proper beginning of a token, where none ended; of them those whose key is ``asked`` for.
+
+    Who asks for a context asks for its last token alone as well, so longer ones are looked at only after tokens asked for.
+    """
     known = _known(t, common)
     cls = np.where(known, t.literal, t.shape)
     before = _before(t, cls)
-    keys = np.stack([_key(cls, b, k, False) for k, b in enumerate(before)])
     upper_next = np.ones(len(cls), bool)
     upper_next[:-1] = t.upper[1:]
     dotted = t.stop & ~t.terminal & ~t.other
     ended = np.where(dotted, t.last | upper_next, t.terminal | (t.last & ~t.other))
     part = np.where(known[t.part_of], t.part_literal, t.part_shape)
-    parts = np.stack([_key(part, b[t.part_of], k, True) for k, b in enumerate(before)])
-    return keys, ended, parts
+    keys, ends = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    for last, of, is_part in ((cls, np.arange(len(cls)), False), (part, t.part_of, True)):
+        for k, b in enumerate(before):
+            key = _key(last, b[of], k, is_part)
+            hit = np.flatnonzero(asked(key))
+            keys.append(key[hit])
+            ends.append(np.zeros(len(hit), bool) if is_part else ended[of[hit]])
+            if k == 0:
+                last, of = last[hit], of[hit]
+    return np.concatenate(keys), np.concatenate(ends)
 
 
 def _rows(df: DataFrame, key: str, fields: tuple[str, ...], source: str) -> DataFrame:
@@ -229,15 +239,15 @@ def _endings(rows: DataFrame, common: float) -> DataFrame:
     bitmap[filled["w"].to_numpy(np.int64)] = filled["v"].to_numpy(np.int64).view(np.uint64)
     asked = sc.broadcast(bitmap)
 
+    def in_bitmap(key: np.ndarray) -> np.ndarray:
+        bit = key >> np.uint64(64 - _BITS)
+        return (asked.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 256):
-            found, ended, parts = contexts(tokens(b.column(0).to_pylist()), vocabulary.value)
-            k = np.concatenate([found.ravel(), parts.ravel()])
-            e = np.concatenate([np.tile(ended, 4), np.zeros(parts.size, bool)])
-            bit = k >> np.uint64(64 - _BITS)
-            hit = (asked.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-            u, inv = np.unique(k[hit], return_inverse=True)
-            arrays = [signed(u), pa.array(np.bincount(inv, e[hit], len(u)).astype(np.int64)), pa.array(np.bincount(inv, minlength=len(u)).astype(np.int64))]
+            k, ended = contexts(tokens(b.column(0).to_pylist()), vocabulary.value, in_bitmap)
+            u, inv = np.unique(k, return_inverse=True)
+            arrays = [signed(u), pa.array(np.bincount(inv, ended, len(u)).astype(np.int64)), pa.array(np.bincount(inv, minlength=len(u)).astype(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "e", "n"])
 
     counts = rows.select("text").mapInArrow(count, "key long, e long, n long").groupBy("key").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
