@@ -50,6 +50,12 @@ def _part(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
         raise ValueError(f"no readable {name}") from x
 
 
+def _filled(cells: list[str]) -> list[str]:
+    """A row up to its last cell that is not blank."""
+    n = max((i for i, c in enumerate(cells, 1) if c.strip()), default=0)
+    return cells[:n]
+
+
 def docx_text(data: bytes) -> str:
     """Paragraphs by line; a table row is one line of cells with bars between."""
     out: list[str] = []
@@ -61,14 +67,14 @@ def docx_text(data: bytes) -> str:
         for child in el:
             kind = _local(child)
             if kind == "p":
-                out.append("".join(t.text or "" for t in child.iter() if _local(t) == "t"))
+                out.append(re.sub(r"[ \t]+", " ", "".join(t.text or "" for t in child.iter() if _local(t) == "t")).strip())
             elif kind == "tr":
-                out.append(" | ".join(cell(c) for c in child if _local(c) == "tc"))
+                out.append(" | ".join(_filled([cell(c) for c in child if _local(c) == "tc"])))
             else:
                 walk(child)
 
     walk(_part(checked_archive(data), "word/document.xml"))
-    return "\n".join(out).strip()
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
 
 def xlsx_text(data: bytes) -> str:
@@ -96,9 +102,7 @@ def xlsx_text(data: bytes) -> str:
                 cells += [""] * (column - 1 - len(cells))
                 value = "".join(t.text or "" for t in c.iter() if _local(t) in ("v", "t"))
                 cells.append(shared[int(value)] if c.get("t") == "s" and value else value)
-            while cells and not cells[-1].strip():
-                cells.pop()
-            if cells:
+            if cells := _filled(cells):
                 rows.append("\t".join(cells))
         if rows:
             out.append("\n".join([f"## Sheet: {sheet.get('name')}", *rows]))
@@ -127,11 +131,11 @@ def pptx_text(data: bytes) -> str:
 
 
 def csv_text(data: bytes) -> str:
-    """Records with tabs between cells; ragged records are kept, empty ones left out."""
+    """Records with tabs between cells as they stand, without empty cells at the end; ragged records are kept, empty ones left out."""
     if len(data) > MAX_CSV:
         raise ValueError("too large")
     rows = csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"), newline=""), strict=False)
-    return "\n".join("\t".join(c.strip() for c in r) for r in rows if any(c.strip() for c in r))
+    return "\n".join("\t".join(r) for r in map(_filled, rows) if r)
 
 
 def plain_text(data: bytes) -> str:

@@ -102,3 +102,7 @@ def test_an_embedder_of_the_wrong_shape_is_an_error(spark):
 
     with pytest.raises(Exception, match="embedder gave"):
         P.embedded(spark.createDataFrame([("a",)], "t string"), "t", Bad()).collect()
+
+
+def test_csv_cells_stand_as_they_are_without_an_empty_end():
+    assert X.csv_text(b"\xef\xbb\xbfa, b ,, \n,,\n\n\"c,d\",,e\n") == "a\t b \nc,d\t\te"
