@@ -9,11 +9,11 @@
 3. Every class gets ``bands * rows`` consistent weighted samples of its shingles, weight
    term frequency times inverse document frequency; two texts agree in a sample with a
    chance equal to their weighted Jaccard similarity.
-   For the plain measure a shingle weighs by its inverse document frequency alone, between
+   For the plain measure a shingle weighs by its inverse document frequency alone, in levels between
    LEAST_PLAIN and 1. So a pair of plain similarity s has a weighted one of at least
    ``weighted_bound(s)``, however common the shingles of a group are, and bands and rows
    follow from that bound at the threshold. Rows of bands carry the number of shingles
-   and one bit of each of 64 further samples; pairs whose sizes rule the threshold out, or
+   and one bit of each of 128 of the samples; pairs whose sizes rule the threshold out, or
    whose bits differ too often for it, are no candidates.
 4. Classes that agree in a whole band are candidates. Bands that many classes share, as
    samples of the classes tell, are cut into blocks, and each pair of blocks is a key of
@@ -50,7 +50,9 @@ LEAST_WEIGHT = 0.35
 #: Bands and rows of the weighted measure: a pair of weighted similarity s is a candidate with chance 1 - (1 - s ** 5) ** 44.
 WEIGHTED_BANDS = (44, 5)
 #: The weight of the commonest shingle as a share of a rare one's by the plain measure.
-LEAST_PLAIN = 0.9
+LEAST_PLAIN = 0.95
+#: Weights by the plain measure are rounded to so many levels.
+PLAIN_LEVELS = 8
 #: Chance at the least of a pair at the threshold to be a candidate by the plain measure.
 PLAIN_RECALL = 0.992
 #: Classes in a band beyond which it is cut into blocks of this size, and the share of the classes looked at to find such bands.
@@ -99,6 +101,39 @@ class Sampler:
         return mix64(out)
 
 
+class GlobalSampler:
+    """Consistent weighted samples where a shingle weighs the same in every text, in one of a few levels of weight.
+
+    The step that the samples of ``Sampler`` carry with a shingle then follows from the shingle, so a sample is the shingle
+    alone, and what a level makes of the variates r and beta is a table. A sample is the least of one number a
+    shingle, whose upper half is what consistent sampling minimises and whose lower half names the shingle.
+    """
+
+    R, B, C, UNIT = 128, 128, 4096, 1 << 26
+
+    def __init__(self, samples: int, weights: np.ndarray):
+        r = _gamma2_quantiles(self.R)[None, :, None]
+        beta = ((np.arange(self.B) + 0.5) / self.B)[None, None, :]
+        t = np.floor(np.log(weights)[:, None, None] / r + beta)
+        self.drop = np.rint(r * (t - beta + 1) * self.UNIT).astype(np.uint32).ravel()
+        self.top = np.rint((np.log(_gamma2_quantiles(self.C)) + 40) * self.UNIT).astype(np.uint32)
+        self.by_sample = multipliers(samples, salt=101)
+
+    def samples(self, ids: np.ndarray, level: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """A row of sample hashes for each text; its shingles are those from its start to the next text's."""
+        out = np.empty((len(starts), len(self.by_sample)), np.uint64)
+        base = level.astype(np.int64) << 14
+        for k, m in enumerate(self.by_sample):
+            x = ids * m
+            a = self.top[((x >> np.uint64(38)) & np.uint64(self.C - 1)).view(np.int64)]
+            a -= self.drop[(x >> np.uint64(50)).view(np.int64) + base]
+            x &= np.uint64(0xFFFFFFFF)
+            x |= a.astype(np.uint64) << np.uint64(32)
+            out[:, k] = np.minimum.reduceat(x, starts)
+        out &= np.uint64(0xFFFFFFFF)
+        return mix64(out * self.by_sample)
+
+
 def weighted_bound(s: float) -> float:
     """The least weighted similarity of a pair of plain similarity ``s`` if weights are between LEAST_PLAIN and 1."""
     return s * LEAST_PLAIN / (s * LEAST_PLAIN + 1 - s)
@@ -115,9 +150,9 @@ def plain_bands(threshold: float) -> tuple[int, int]:
 
 
 def most_differing(threshold: float) -> int:
-    """Of 64 bits, each of one sample: the most in which a pair at the plain ``threshold`` differs, but for one pair in some 7,000."""
+    """Of 128 bits, each of one sample: the most in which a pair at the plain ``threshold`` differs, but for one pair in some 7,000."""
     p = (1 - weighted_bound(threshold)) / 2
-    return int(64 * p + 3.65 * np.sqrt(64 * p * (1 - p)))
+    return int(128 * p + 3.65 * np.sqrt(128 * p * (1 - p)))
 
 
 def in_blocks(band: np.ndarray, c: np.ndarray, hot: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,12 +243,14 @@ def similar_classes(
     order = np.argsort(frequent)
     frequent, times_ = frequent[order], common["n"].to_numpy(np.float64)[order]
     idf = np.log(max(1, n) / np.maximum(1, times_))
-    # clipped for the weighted measure, pressed into the narrow range for the plain one
-    idf = np.clip(LEAST_PLAIN * top + (1 - LEAST_PLAIN) * idf, LEAST_PLAIN * top, top) if plain else np.clip(idf, LEAST_WEIGHT * top, top)
+    idf = np.clip(idf, 0.0 if plain else LEAST_WEIGHT * top, top)
+    if plain:  # as levels of the narrow range
+        idf = np.rint(idf / top * (PLAIN_LEVELS - 1))
+    range_ = top * np.linspace(LEAST_PLAIN, 1, PLAIN_LEVELS)
     shared = classes.sparkSession.sparkContext.broadcast((frequent, idf, top))
 
     def sign(batches: Iterator[pa.RecordBatch], hot: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(bands * rows + 64 * plain)
+        sampler = GlobalSampler(bands * rows, range_) if plain else Sampler(bands * rows)
         frequent, idf, top = shared.value
         m = multipliers(rows, salt=303)
         for b in pieces(batches):
@@ -222,18 +259,20 @@ def similar_classes(
                 continue
             starts = np.flatnonzero(np.diff(doc, prepend=-1))
             sizes = np.diff(np.append(starts, len(doc)))
-            weight = _weights(ids, np.ones(len(ids)) if plain else times, frequent, idf, top)
-            h = sampler.samples(ids, np.log(weight), starts, sizes)
-            bits = ((h[:, bands * rows :] & np.uint64(1)) << np.arange(h.shape[1] - bands * rows, dtype=np.uint64)).sum(axis=1)
-            h = (h[:, : bands * rows].reshape(len(starts), bands, rows) * m).sum(axis=2) + np.arange(bands, dtype=np.uint64)
+            weight = _weights(ids, np.ones(len(ids)) if plain else times, frequent, idf, PLAIN_LEVELS - 1 if plain else top)
+            h = sampler.samples(ids, weight, starts) if plain else sampler.samples(ids, np.log(weight), starts, sizes)
+            # a bit of each of the first 128 samples
+            low = np.resize((h[:, :128] & np.uint64(1)).T, (128, len(h))).T
+            bits, more_bits = ((low[:, x : x + 64] << np.arange(64, dtype=np.uint64)).sum(axis=1) for x in (0, 64))
+            h = (h.reshape(len(starts), bands, rows) * m).sum(axis=2) + np.arange(bands, dtype=np.uint64)
             band = signed(mix64(h).ravel()).to_numpy()
             at, band, side = in_blocks(band, b.column(0).to_numpy()[np.repeat(doc[starts], bands)], *hot)
             of = at // bands
-            more = [signed(bits[of]), pa.array(sizes[of].astype(np.int32))] if plain else []
+            more = [signed(bits[of]), signed(more_bits[of]), pa.array(sizes[of].astype(np.int32))] if plain else []
             arrays = [b.column(0).take(pa.array(doc[starts][of])), pa.array(band), pa.array(side), *more]
-            yield pa.RecordBatch.from_arrays(arrays, names=["c", "band", "side", "bits", "size"][: 3 + len(more)])
+            yield pa.RecordBatch.from_arrays(arrays, names=["c", "band", "side", "bits", "more_bits", "size"][: 3 + len(more)])
 
-    schema = "c long, band long, side byte" + ", bits long, size int" * plain
+    schema = "c long, band long, side byte" + ", bits long, more_bits long, size int" * plain
     no_hot = np.zeros(0, np.int64), np.zeros(0, np.int64)
     some = classes.filter(F.pmod(F.xxhash64("c"), F.lit(HOT_SHARE)) == 0).select("c", "content").mapInArrow(partial(sign, hot=no_hot), schema)
     counts = some.groupBy("band").agg(F.ceil(F.count("*") * HOT_SHARE / HOT_BAND).alias("nb")).filter("nb > 1")
@@ -241,10 +280,11 @@ def similar_classes(
     hot = found["band"].to_numpy(np.int64), found["nb"].to_numpy(np.int64)
     signed_ = classes.select("c", "content").mapInArrow(partial(sign, hot=hot), schema)
     meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))
-    meet &= (F.col("x.side") < 2) & (F.col("x.side") * 2 == F.col("y.side"))  # 0 with 0, 1 with 2
+    meet &= (F.col("x.side") * 3 + F.col("y.side")).isin(0, 5)  # 0 with 0, 1 with 2; a condition on one side alone would keep both from sharing a shuffle
     if plain:
         meet &= F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(threshold - 1e-9)
-        meet &= F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= most_differing(threshold)
+        differ = sum(F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in ("bits", "more_bits"))
+        meet &= differ <= most_differing(threshold)
     pairs = signed_.alias("x").join(signed_.alias("y"), meet)
     pairs = pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     texts = classes.select("c", "content")

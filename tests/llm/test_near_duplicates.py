@@ -116,6 +116,17 @@ def test_samples_agree_as_often_as_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - want) < 0.04
 
 
+def test_global_samples_agree_as_often_as_weighted_jaccard():
+    rng = np.random.default_rng(2)
+    ids = np.sort(rng.integers(1, 1 << 54, 90).astype(np.uint64))
+    level = rng.integers(0, 4, 90)
+    weights = np.array([2.0, 3.0, 4.0, 6.0])  # far more apart than in use
+    a, b = np.arange(0, 70), np.arange(20, 90)
+    s = N.GlobalSampler(4000, weights).samples(np.concatenate([ids[a], ids[b]]), np.concatenate([level[a], level[b]]), np.array([0, 70]))
+    w = weights[level]
+    assert abs((s[0] == s[1]).mean() - w[20:70].sum() / w.sum()) < 0.03
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
