@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.text import MESSAGE_FENCE, REFERENCE_FENCE, query_problem, sanitised, trimmed, truncated_bytes, unescaped_newlines
 from sieveline.schemas import SCAM_TYPES, VERDICTS
+from sieveline.session import once
 
 #: What a model is shown at most, in documents and in UTF-8 bytes.
 MOST_SHOWN, CONTENT_BYTES, PREVENTION_BYTES, PROMPT_BYTES = 5, 2_000, 500, 80_000
@@ -73,7 +74,7 @@ def prompts(messages: DataFrame, ranked: DataFrame, *, key: str = "query_id", te
         F.sort_array(F.collect_list(F.struct("rank", "title", "content", "prevention", "scam_type"))).alias("documents")
     )
     m = messages.select(key, text, query_problem(text).alias("problem")).join(few, key, "left")
-    return m.select(key, "problem", F.when(F.col("problem").isNull(), prompt(trimmed(text), "documents")).alias("prompt"))
+    return once(m.select(key, "problem", F.when(F.col("problem").isNull(), prompt(trimmed(text), "documents")).alias("prompt")), "prompt")
 
 
 def _json(answer: str, schema: str) -> Column:
@@ -94,7 +95,7 @@ def scored(answers: DataFrame, *, key: str = "query_id", answer: str = "answer",
     error = F.when(F.col("a").isNull() | F.col("a._bad").isNotNull(), "no json").when(
         ~F.coalesce(F.col("a.risk_level").isin(*VERDICTS), F.lit(False)), F.concat(F.lit("invalid risk_level '"), F.coalesce("a.risk_level", F.lit("")), F.lit("'"))
     )
-    a = a.withColumn("error", error)
+    a = once(a.withColumn("error", error), "a", "shown", "error")
     places = F.filter(F.array_distinct(F.coalesce("a.matched_source_indices", F.array().cast("array<int>"))), lambda i: (i >= 1) & (i <= F.size("shown")))
     result = F.struct(
         F.col("a.risk_level").alias("risk_level"),
@@ -116,7 +117,7 @@ def enriched(answers: DataFrame, *, key: str = "id", url: str = "url", answer: s
         F.transform(F.coalesce("a.user_queries", F.array().cast("array<string>")), lambda q: unescaped_newlines(F.coalesce(q, F.lit("")))).alias("user_queries"),
         unescaped_newlines(F.coalesce("a.prevention", F.lit(""))).alias("prevention"),
     )
-    a = a.select(key, "url", (F.col("a").isNull() | F.col("a._bad").isNotNull()).alias("bad"), clean.alias("d"))
+    a = once(a.select(key, "url", (F.col("a").isNull() | F.col("a._bad").isNotNull()).alias("bad"), clean.alias("d")), "bad", "d")
     error = (
         F.when(F.col("bad"), "no json")
         .when(trimmed("d.title") == "", "empty title")
@@ -125,5 +126,5 @@ def enriched(answers: DataFrame, *, key: str = "id", url: str = "url", answer: s
         .when(F.size("d.user_queries") == 0, "no user_queries")
         .when(trimmed("d.prevention") == "", "empty prevention")
     )
-    a = a.withColumn("error", error)
+    a = once(a.withColumn("error", error), "error")
     return a.select(key, "url", "error", F.when(F.col("error").isNull(), F.col("d")).alias("document"))

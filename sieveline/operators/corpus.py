@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.text import trimmed
 from sieveline.schemas import SCAM_TYPES
-from sieveline.session import cut
+from sieveline.session import cut, once
 
 #: The names of the sections.
 _SECTIONS = ("General information", "Content", "User query", "Prevention")
@@ -142,15 +142,15 @@ def parsed(texts: DataFrame, *, key: str = "id", text: str = "text") -> DataFram
     Sections come in any order and repeats add up. The first failing check names the error. A null text is
     an error, and a text that is malformed never fails the job. Everything is a column expression.
     """
-    s = texts.select(key, _sections(F.col(text)).alias("s"))
+    s = once(texts.select(key, _sections(F.col(text)).alias("s")), "s")
     s = s.select(key, "s", _body(F.col("s"), "General information").alias("general"))
-    s = s.withColumn("lines", F.split(F.coalesce("general", F.lit("")), "\n"))
+    s = once(s.withColumn("lines", F.split(F.coalesce("general", F.lit("")), "\n")), "general", "lines")
     fields = {
         "url": _value(F.col("lines"), "url"), "title": _value(F.col("lines"), "title"), "scam_type": _value(F.col("lines"), "type"),
         "content": trimmed(F.coalesce(_body(F.col("s"), "Content"), F.lit(""))), "user_queries": _numbered_lines(_body(F.col("s"), "User query")),
         "prevention": trimmed(F.coalesce(_body(F.col("s"), "Prevention"), F.lit(""))),
     }
-    d = s.withColumn("d", F.struct(*[c.alias(n) for n, c in fields.items()]))
+    d = once(s.withColumn("d", F.struct(*[c.alias(n) for n, c in fields.items()])), "d")
     strange = F.filter(F.transform("s", lambda x: x["name"]), lambda n: ~n.isin(*_SECTIONS))
     error = F.when(trimmed(F.col("s")[0]["body"]) != "", "text before the first section")
     error = error.when(F.size(strange) > 0, F.concat(F.lit("unknown section '"), F.try_element_at(strange, F.lit(1)), F.lit("'")))
@@ -159,14 +159,14 @@ def parsed(texts: DataFrame, *, key: str = "id", text: str = "text") -> DataFram
         error = error.when(F.col(f"d.{name}") == "", f"no {name}")
     error = error.when(~F.lower("d.url").rlike("^https?://"), "url is not http(s)")
     error = error.when(~F.col("d.scam_type").isin(*SCAM_TYPES), F.concat(F.lit("unknown type '"), F.col("d.scam_type"), F.lit("'")))
-    d = d.withColumn("error", error)
+    d = once(d.withColumn("error", error), "error")
     fine = F.col("error").isNull()
     return d.select(key, F.when(fine, F.col("d")).alias("document"), (fine & (_value(F.col("lines"), "reviewed") == "true")).alias("reviewed"), "error")
 
 
 def parsed_sections(sections: DataFrame) -> DataFrame:
     """(id, block, user_queries): sections of ``query_sections`` read back; a null or malformed text has null queries."""
-    s = sections.select("id", "block", _sections(F.col("text")).alias("s"))
+    s = once(sections.select("id", "block", _sections(F.col("text")).alias("s")), "s")
     strange = F.exists("s", lambda x: ~x["name"].isin(*_SECTIONS))
     fine = (trimmed(F.col("s")[0]["body"]) == "") & (F.size("s") > 1) & ~F.coalesce(strange, F.lit(False))
     return s.select("id", "block", F.when(fine, _numbered_lines(_body(F.col("s"), "User query"))).alias("user_queries"))

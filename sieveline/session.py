@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -26,6 +27,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def once(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with ``columns`` worked out once for each row.
+
+    The optimiser puts a column's expression wherever the column is used, also into filters, so one that is costly
+    and used often would be worked out as often; a generator is what it does not look through.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("once")).select(*rest, "once.*")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, with its lineage cut.
 
